@@ -17,7 +17,10 @@ from ..functions.values import or_else
 from ..storage import fresh_path, materialise
 from .catalog import with_primary_image
 from .orders import item_detail, last_quantities, normalise_items, normalise_orders
-from .ranking import fresh_ids, largest_group, positions, sums_before
+from .ranking import fresh_ids, largest_group, positions, sums_before, with_group
+
+
+STEPS_PER_TABLE = 3  # rounds between two written states
 
 
 class Admission(NamedTuple):
@@ -26,41 +29,56 @@ class Admission(NamedTuple):
     claims: DataFrame  # rank, product_id, take of the accepted orders
 
 
+def _step(state: DataFrame, window_rows: int | None, block: int | None, sizes: tuple[int, int]) -> DataFrame:
+    """One round over rows that are open, in (not yet taken off later stock), done (taken off) or out."""
+    take, open_row, new = F.col("take"), F.col("state") == "open", F.col("state") == "in"
+    bounded = sums_before(
+        state, ["product_id"], "rank",
+        {
+            "spent": F.when(new, take),
+            "up": F.when(open_row & (take > 0), take),
+            "down": F.when(open_row & (take < 0), -take),
+        },
+        window_rows, block, sizes[0],
+    )
+    base = F.when(open_row, F.col("base") - F.col("spent")).otherwise(F.col("base"))
+    judged = bounded.withColumn("base", base).withColumns({
+        "_out": open_row & (F.col("need") > F.col("base") + F.col("down")),
+        "_in": open_row & (F.col("need") <= F.col("base") - F.col("up")),
+    })
+    decided = with_group(
+        judged, ["rank"], {"_any_out": F.bool_or("_out"), "_all_in": F.bool_and("_in")}, window_rows, sizes[1]
+    )
+    now = (
+        F.when(new, "done")
+        .when(open_row & F.col("_any_out"), "out")
+        .when(open_row & F.col("_all_in"), "in")
+        .otherwise(F.col("state"))
+    )
+    return decided.select("rank", "product_id", "take", "need", "base", now.alias("state"))
+
+
 def _settle(claims: DataFrame, window_rows: int | None, block: int | None) -> DataFrame:
-    """rank, accepted for the orders of `claims` (rank, product_id, take, need, base)."""
+    """rank, accepted for the orders of `claims` (rank, product_id, take, need, base).
+
+    The rows of an order share one state, and settled rows leave the table, so later rounds get smaller.
+    """
     spark = claims.sparkSession
     root = fresh_path(spark, "admission")
     state = materialise(claims.select("rank", "product_id", "take", "need", "base", F.lit("open").alias("state")), "open")
-    largest = largest_group(state, ["product_id"])
-    rounds = 0
-    take, is_open = F.col("take"), F.col("state") == "open"
-    while not state.where(is_open).isEmpty():
-        bounded = sums_before(
-            state.where("state <> 'out'"), ["product_id"], "rank",
-            {
-                "spent": F.when(~is_open, take),
-                "up": F.when(is_open & (take > 0), take),
-                "down": F.when(is_open & (take < 0), -take),
-            },
-            window_rows, block, largest,
-        ).where(is_open)
-        base = F.col("base") - F.col("spent")
-        judged = bounded.select(
-            "rank", "product_id", "take", "need", base.alias("base"),
-            (F.col("need") > base + F.col("down")).alias("_out"), (F.col("need") <= base - F.col("up")).alias("_in"),
-        )
-        verdict = judged.groupBy("rank").agg(F.bool_or("_out").alias("_any_out"), F.bool_and("_in").alias("_all_in"))
-        verdict = verdict.select(
-            "rank", F.when(F.col("_any_out"), "out").when(F.col("_all_in"), "in").otherwise("open").alias("state")
-        )
-        path = f"{root}/round={rounds}"
-        judged.select("rank", "product_id", "take", "need", "base").join(verdict, "rank").write.parquet(path)
-        state = spark.read.schema(state.schema).parquet(path)
-        rounds += 1
-    if rounds == 0:
+    schema = state.schema
+    sizes = (largest_group(state, ["product_id"]), largest_group(state, ["rank"]))
+    paths: list[str] = []
+    while not state.where("state = 'open'").isEmpty():
+        for _ in range(STEPS_PER_TABLE):
+            state = _step(state, window_rows, block, sizes)
+        paths.append(f"{root}/round={len(paths)}")
+        state.write.parquet(paths[-1])
+        state = spark.read.schema(schema).parquet(paths[-1]).where("state IN ('open', 'in')")
+    if not paths:
         return claims.select("rank", F.lit(True).alias("accepted")).limit(0)
-    settled = spark.read.schema(state.schema).parquet(*[f"{root}/round={n}" for n in range(rounds)])
-    return settled.where(~is_open).select("rank", (F.col("state") == "in").alias("accepted")).distinct()
+    settled = spark.read.schema(schema).parquet(*paths).where("state <> 'open'")
+    return settled.select("rank", (F.col("state") != "out").alias("accepted")).distinct()
 
 
 def _admit(
@@ -111,7 +129,7 @@ def order_ranks(orders: DataFrame) -> DataFrame:
     """order_id, rank: the order in which a batch is served, undated orders last."""
     heads = orders.select(F.col("id").alias("order_id"), "created_at")
     placed = positions(heads, [F.col("created_at").asc_nulls_last(), F.col("order_id").asc()], "rank")
-    return materialise(placed.select("order_id", "rank"), "ranks")
+    return placed.select("order_id", "rank")
 
 
 def admit_orders(

@@ -85,6 +85,23 @@ def sums_before(
     )
 
 
+def with_group(
+    df: DataFrame, keys: Sequence[str], values: dict[str, Column], window_rows: int | None = None,
+    largest: int | None = None,
+) -> DataFrame:
+    """Every row with aggregates of its whole group; keys must not be null.
+
+    Up to `WINDOW_ROWS` per group this is one window (one shuffle); larger groups are aggregated and joined back, where
+    the join may split them.
+    """
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest <= (WINDOW_ROWS if window_rows is None else window_rows):
+        group = Window.partitionBy(*keys)
+        return df.select("*", *[value.over(group).alias(name) for name, value in values.items()])
+    return df.join(df.groupBy(*keys).agg(*[value.alias(name) for name, value in values.items()]), list(keys))
+
+
 def page_index(df: DataFrame, order: Sequence[Column], limit: int = 10) -> DataFrame:
     """Page number (1-based) and place on the page of every row: all pages at once."""
     at = F.col("_at")
