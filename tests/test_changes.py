@@ -121,7 +121,7 @@ def test_catalog_filter_conditions(spark):
 
 def test_items_dedupe_keeps_the_first_of_product_and_option(spark):
     table = spark.createDataFrame(
-        [(1, 1, 5, None), (1, 2, 5, ""), (1, 3, 5, "L"), (1, 4, 5, "L"), (2, 1, 5, None)],
-        "order_id bigint, pos bigint, id bigint, selected_option string",
+        [(1, 1, 5, None, None), (1, 2, None, 5, ""), (1, 3, 5, 9, "L"), (1, 4, 0, 5, "L"), (2, 1, 5, None, None)],
+        "order_id bigint, pos bigint, product_id bigint, id bigint, selected_option string",
     )
     assert rows(orders.dedupe_items(table), "order_id", "pos") == [(1, 1), (1, 3), (2, 1)]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonio import decode_map, encode
+from ..storage import materialise
 from .catalog import product_cards
 
 
@@ -54,35 +55,43 @@ def _form(listing: Listing) -> Column:
 
 
 def banner_elements(banners: DataFrame, listing: Listing) -> DataFrame:
-    """Decoded elements with their form and end date; `slot` is the element's place, 0 for a whole-map list."""
+    """Decoded elements with their form, end date and `ref_ids`, the product or category ids they name.
+
+    `slot` is the element's place, 0 for a whole-map list. Ids that are no number (or no {id} object where those
+    count) stay as null entries, so that positions are kept.
+    """
     decoded = decode_map(banners).withColumn("form", _form(listing))
     dated = (F.col("form") == "products") & (F.col("type") == "Timer") & F.lit(listing.end_date)
+    with_objects = (F.col("type") == "List") | F.lit(listing.id_objects)
+
+    def entries(path: str) -> Column:
+        return F.try_variant_get("value", path, "array<variant>")
+
+    def number(entry: Column) -> Column:
+        return F.try_variant_get(entry, "$", "bigint")
+
+    def number_or_id(entry: Column) -> Column:
+        return F.coalesce(number(entry), F.when(with_objects, F.try_variant_get(entry, "$.id", "bigint")))
+
+    form = F.col("form")
+    ids = (
+        F.when(form.isin("product", "category"), F.array(number(F.col("value"))))
+        .when(form == "products", F.transform(entries("$.productIds"), number_or_id))
+        .when(form == "categories", F.transform(entries("$.categoryIds"), number))
+    )
     return decoded.withColumns({
         "end_date": F.when(dated, F.try_variant_get("value", "$.endDate", "string")),
-        "slot": F.when(F.col("form") == "categories", 0).otherwise(F.coalesce("elem_pos", F.lit(1))).cast("bigint"),
-    })
+        "slot": F.when(form == "categories", 0).otherwise(F.coalesce("elem_pos", F.lit(1))).cast("bigint"),
+        "ref_ids": ids,
+    }).drop("value")
 
 
-def referenced_ids(elements: DataFrame, listing: Listing) -> DataFrame:
+def referenced_ids(elements: DataFrame) -> DataFrame:
     """banner_id, slot, form, type, elem_pos, sub_pos, ref_id: one row per id an element names."""
-    spark = elements.sparkSession
-    # Numbers are given as one-element arrays, so one explode serves all forms.
-    exploded = spark.sql(
-        """
-        SELECT e.banner_id, e.slot, e.form, e.type, e.elem_pos, CAST(p.pos AS BIGINT) + 1 AS sub_pos,
-          try_variant_get(p.value, '$', 'bigint') AS number, try_variant_get(p.value, '$.id', 'bigint') AS id
-        FROM (
-          SELECT banner_id, slot, form, type, elem_pos, CASE
-            WHEN form IN ('product', 'category') THEN concat('[', elem, ']')
-            WHEN form = 'products' THEN get_json_object(elem, '$.productIds')
-            WHEN form = 'categories' THEN get_json_object(elem, '$.categoryIds') END AS ids
-          FROM {elements}) e, LATERAL variant_explode(
-            try_parse_json(CASE WHEN e.ids LIKE '[%' THEN e.ids END)) p
-        """,
-        elements=elements.select("banner_id", "slot", "form", "type", "elem_pos", "elem"),
+    exploded = elements.select(
+        "banner_id", "slot", "form", "type", "elem_pos", F.posexplode("ref_ids").alias("sub_pos", "ref_id")
     )
-    objects = F.when((F.col("type") == "List") | F.lit(listing.id_objects), F.col("id"))
-    return exploded.withColumn("ref_id", F.coalesce("number", objects)).drop("number", "id")
+    return exploded.withColumn("sub_pos", F.col("sub_pos").cast("bigint") + 1)
 
 
 def resolve_banners(
@@ -90,8 +99,9 @@ def resolve_banners(
     listing: Listing,
 ) -> DataFrame:
     """Flat rows of a listing; use `sort_banners` order (priority with nulls last, id) and slot, elem_pos, sub_pos."""
-    elements = banner_elements(banners, listing).drop("value")
-    refs = referenced_ids(banner_elements(banners, listing), listing)
+    # Decoded once: the elements are read again for their rows, for the ids, and for the cards of those ids.
+    elements = materialise(banner_elements(banners, listing), "banner-elements")
+    refs = referenced_ids(elements)
 
     of_products = F.col("form").isin("product", "products")
     wanted = refs.where(of_products & F.col("ref_id").isNotNull())

@@ -43,21 +43,24 @@ def max_priority(images: DataFrame) -> DataFrame:
     return images.groupBy("product_id").agg(F.max("priority").alias("max_priority"))
 
 
-def _of(facts: DataFrame, products: DataFrame, narrowed: bool) -> DataFrame:
+def _of(facts: DataFrame, ids: DataFrame | None) -> DataFrame:
     """When only some products are asked for, drop the other products' rows before they are aggregated."""
-    return facts.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi") if narrowed else facts
+    if ids is None:
+        return facts
+    return rows_for_keys(facts, ids.select(F.col("id").alias("product_id")), "product_id")
 
 
 def with_primary_image(
-    products: DataFrame, images: DataFrame, strict: bool = False, narrowed: bool = False
+    products: DataFrame, images: DataFrame, strict: bool = False, ids: DataFrame | None = None
 ) -> DataFrame:
-    first = (strict_primary_image if strict else primary_image)(_of(images, products, narrowed))
+    """`ids` names the products where they are few; the same below."""
+    first = (strict_primary_image if strict else primary_image)(_of(images, ids))
     return products.join(first.withColumnRenamed("product_id", "id"), "id", "left")
 
 
-def with_rating(products: DataFrame, ratings: DataFrame, narrowed: bool = False) -> DataFrame:
+def with_rating(products: DataFrame, ratings: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Average of one digit (null without ratings) and count (0 without)."""
-    found = product_rating(_of(ratings, products, narrowed)).withColumnRenamed("product_id", "id")
+    found = product_rating(_of(ratings, ids)).withColumnRenamed("product_id", "id")
     joined = products.join(found, "id", "left")
     return joined.withColumn("rating_count", F.coalesce("rating_count", F.lit(0).cast("bigint")))
 
@@ -68,9 +71,8 @@ def product_cards(
     """The product fields banners show: two-digit average and count, both 0 without ratings."""
     if ids is not None:
         products = rows_for_keys(products, ids)
-    narrowed = ids is not None
-    found = product_rating(_of(ratings, products, narrowed), 2).withColumnRenamed("product_id", "id")
-    joined = with_primary_image(products, images, narrowed=narrowed).join(found, "id", "left")
+    found = product_rating(_of(ratings, ids), 2).withColumnRenamed("product_id", "id")
+    joined = with_primary_image(products, images, ids=ids).join(found, "id", "left")
     return joined.select(
         "id", "name", "description", "price", "endprice", "primary_image",
         F.coalesce("avg_rating", F.lit(0.0)).alias("avg_rating"),
@@ -113,7 +115,7 @@ def links_nested(products: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def image_columns(placed: DataFrame) -> list[Column]:
+def image_columns() -> list[Column]:
     return [
         F.col("product_id").alias("id"), F.col("pos").alias("image_pos"), F.col("id").alias("image_id"),
         F.col("link").alias("image_link"), F.col("priority").alias("image_priority"),
@@ -136,9 +138,8 @@ def catalog_with_primary_image(
     products: DataFrame, images: DataFrame, ratings: DataFrame, category_id: int | None = None
 ) -> DataFrame:
     shown = catalog_filter(products, category_id, active_only=False)
-    narrowed = bool(category_id)
-    carded = with_rating(with_primary_image(shown, images, narrowed=narrowed), ratings, narrowed=narrowed)
-    return carded.orderBy(F.col("id").desc_nulls_first())
+    ids = shown if category_id else None
+    return with_rating(with_primary_image(shown, images, ids=ids), ratings, ids).orderBy(F.col("id").desc_nulls_first())
 
 
 def catalog_full(
@@ -147,12 +148,12 @@ def catalog_full(
 ) -> DataFrame:
     """Active products with rating and their images in order, one row per image (or one without)."""
     shown = catalog_filter(products, category_id, search)
-    narrowed = bool(category_id or search or ids is not None)
     if ids is not None:
         shown = rows_for_keys(shown, ids)
-    placed = images_in_order(_of(images, shown, narrowed))
-    rated = with_rating(shown, ratings, narrowed)
-    return rated.join(placed.select(*image_columns(placed)), "id", "left").orderBy(
+    few = shown if category_id or search or ids is not None else None
+    placed = images_in_order(_of(images, few))
+    rated = with_rating(shown, ratings, few)
+    return rated.join(placed.select(*image_columns()), "id", "left").orderBy(
         F.col("id").desc_nulls_first(), F.col("image_pos").asc_nulls_last()
     )
 

@@ -48,8 +48,8 @@ def apply_update(
 
 
 def apply_delete(table: DataFrame, keys: DataFrame, key: str = "id") -> Changed:
-    return Changed(table.join(keys.select(key), key, "left_anti"), rows_for_keys(table, keys, key),
-                   missing_keys(table, keys, key))
+    kept = table.join(keys.select(key).distinct(), key, "left_anti")
+    return Changed(kept, rows_for_keys(table, keys, key), missing_keys(table, keys, key))
 
 
 def delete_orders(orders: DataFrame, keys: DataFrame, users: DataFrame) -> Changed:
@@ -62,9 +62,10 @@ def delete_products(
     products: DataFrame, images: DataFrame, ratings: DataFrame, keys: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Products, images and ratings without the given products."""
-    owned = keys.select(F.col("id").alias("product_id"))
+    gone = keys.select("id").distinct()
+    owned = gone.withColumnRenamed("id", "product_id")
     return (
-        products.join(keys.select("id"), "id", "left_anti"),
+        products.join(gone, "id", "left_anti"),
         images.join(owned, "product_id", "left_anti"),
         ratings.join(owned, "product_id", "left_anti"),
     )

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .lookups import latest, missing_keys
+from .lookups import latest, missing_keys, rows_for_keys
 from .ranking import fresh_ids, ranked
 
-FOLD_STEPS = 1000
+FOLD_STEPS = 10_000
 
 
 def next_priorities(images: DataFrame, additions: DataFrame, window_rows: int | None = None) -> DataFrame:
@@ -63,7 +63,9 @@ def set_secondary(images: DataFrame, choices: DataFrame, window_rows: int | None
     )
     steps = materialise(steps.withColumn("_pass", F.floor((F.col("_step") - 1) / F.lit(FOLD_STEPS))), "steps")
     passes = (steps.agg(F.max("_pass").alias("n")).first()["n"] or 0) + 1
-    result = images
+    moved_products = steps.select("product_id")
+    untouched = images.join(moved_products.distinct(), "product_id", "left_anti")
+    result = rows_for_keys(images, moved_products, "product_id")
     for n in range(passes):
         part = steps.where(F.col("_pass") == n).groupBy("product_id").agg(
             F.array_sort(F.collect_list(F.struct("_step", "image_id", "to"))).alias("_todo")
@@ -78,7 +80,7 @@ def set_secondary(images: DataFrame, choices: DataFrame, window_rows: int | None
         result = result.join(part, "product_id", "left").withColumn("priority", moved).select(*images.columns)
         if n + 1 < passes:
             result = materialise(result, "images")
-    return result
+    return untouched.select(*images.columns).unionByName(result)
 
 
 def set_priority(images: DataFrame, choices: DataFrame) -> DataFrame:

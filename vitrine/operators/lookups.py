@@ -15,8 +15,11 @@ VOUCHER_TYPES = ["num", "per"]
 
 
 def rows_for_keys(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key is among `keys`; repeats in `keys` collapse and unknown keys vanish."""
-    return table.join(keys.select(key), key, "left_semi")
+    """Rows whose key is among `keys`; repeats in `keys` collapse and unknown keys vanish.
+
+    The keys are made distinct before the join, so an often repeated key crosses the network once per task at most.
+    """
+    return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def missing_keys(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

@@ -85,13 +85,13 @@ def merge_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_items(merged: DataFrame) -> DataFrame:
-    """The first line of every product and option of an order."""
+def dedupe_items(lines: DataFrame) -> DataFrame:
+    """The first of an order's decoded lines per product and option."""
     option = F.coalesce("selected_option", F.lit("")).alias("_option")
-    rest = [c for c in merged.columns if c not in ("order_id", "id")]
+    rest = [c for c in lines.columns if c != "order_id"]
     first = F.min_by(F.struct(*rest), "pos").alias("_first")
-    kept = merged.groupBy("order_id", "id", option).agg(first)
-    return kept.select("order_id", "id", *[F.col(f"_first.{c}").alias(c) for c in rest])
+    kept = lines.groupBy("order_id", line_product().alias("_product"), option).agg(first)
+    return kept.select("order_id", "_first.*")
 
 
 def item_detail(lines: DataFrame, products: DataFrame, images: DataFrame) -> DataFrame:

@@ -53,7 +53,9 @@ def ranked(
     placed = positions(df, [*[F.col(k).asc() for k in keys], *order], "_at")
     first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_at").alias("_first"))
     same = reduce(Column.__and__, [placed[k].eqNullSafe(first[f"_k{i}"]) for i, k in enumerate(keys)])
-    return placed.join(first, same).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
+    found = placed.join(first, same).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
+    # Written, because a later grouping by more columns would else keep the partitions of this join, hot key included.
+    return materialise(found, "ranked")
 
 
 def sums_before(
@@ -70,7 +72,8 @@ def sums_before(
         earlier = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(n) for n, c in sums.items()])
     # Sums of whole earlier blocks plus the earlier rows of the own block; no group is larger than a block.
-    blocked = df.withColumn("_block", F.floor(F.col(rank) / F.lit(block or BLOCK)))
+    # The explicit shuffle by key and block replaces any partitioning by the bare key that the rows come with.
+    blocked = df.withColumn("_block", F.floor(F.col(rank) / F.lit(block or BLOCK))).repartition(*keys, "_block")
     totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(

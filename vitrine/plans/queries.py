@@ -262,7 +262,7 @@ def unnest_join(shop):
 @query
 def unnest_left_category(shop):
     elements = banners.banner_elements(shop.banner, banners.ADMIN)
-    named = banners.referenced_ids(elements, banners.ADMIN).where("form = 'categories'")
+    named = banners.referenced_ids(elements).where("form = 'categories'")
     known = shop.category.select(F.col("id").cast("bigint").alias("category_id"), "name", "image")
     return named.join(known, F.col("ref_id") == F.col("category_id"), "left").select(
         "banner_id", "elem_pos", "sub_pos", "category_id", "name", "image"
@@ -329,7 +329,7 @@ def banner_regroup(shop):
 
 @query
 def items_dedupe(shop):
-    return orders.dedupe_items(orders.merge_products(shop.lines, shop.product))
+    return orders.merge_products(orders.dedupe_items(shop.lines), shop.product)
 
 
 @query
@@ -399,7 +399,7 @@ def catalog_admin(shop):
 def catalog_admin_page(shop):
     # The page is chosen first, so only its products look for their image.
     page = ranking.paginate(shop.product, [F.col("id").asc_nulls_last()], page=2, limit=20)
-    return catalog.with_primary_image(page, shop.images, strict=True, narrowed=True).orderBy("id")
+    return catalog.with_primary_image(page, shop.images, strict=True, ids=page).orderBy("id")
 
 
 @query
