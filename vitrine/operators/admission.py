@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import or_else
@@ -23,23 +23,42 @@ from .ranking import fresh_ids, largest_group, positions, sums_before, with_grou
 STEPS_PER_TABLE = 3  # rounds between two written states
 
 
+class Groups(NamedTuple):
+    """Largest number of lines of one product and of one order, and the limits that choose how to sum over them."""
+
+    by_product: int
+    by_order: int
+    window_rows: int | None
+    block: int | None
+
+
+def _groups(lines: DataFrame, window_rows: int | None, block: int | None) -> Groups:
+    # Every later table has at most the lines' rows per product and per order, so this is counted once.
+    return Groups(largest_group(lines, ["product_id"]), largest_group(lines, ["rank"]), window_rows, block)
+
+
+def _sums_by_product(df: DataFrame, sums: dict[str, Column], groups: Groups) -> DataFrame:
+    return sums_before(df, ["product_id"], "rank", sums, groups.window_rows, groups.block, groups.by_product)
+
+
 class Admission(NamedTuple):
     orders: DataFrame  # order_id, rank, accepted, reason, product_id, available
     products: DataFrame  # product_id, taken: stock used by the accepted orders (negative: given back)
     claims: DataFrame  # rank, product_id, take of the accepted orders
+    groups: Groups
 
 
-def _step(state: DataFrame, window_rows: int | None, block: int | None, sizes: tuple[int, int]) -> DataFrame:
+def _step(state: DataFrame, groups: Groups) -> DataFrame:
     """One round over rows that are open, in (not yet taken off later stock), done (taken off) or out."""
     take, open_row, new = F.col("take"), F.col("state") == "open", F.col("state") == "in"
-    bounded = sums_before(
-        state, ["product_id"], "rank",
+    bounded = _sums_by_product(
+        state,
         {
             "spent": F.when(new, take),
             "up": F.when(open_row & (take > 0), take),
             "down": F.when(open_row & (take < 0), -take),
         },
-        window_rows, block, sizes[0],
+        groups,
     )
     base = F.when(open_row, F.col("base") - F.col("spent")).otherwise(F.col("base"))
     judged = bounded.withColumn("base", base).withColumns({
@@ -47,7 +66,7 @@ def _step(state: DataFrame, window_rows: int | None, block: int | None, sizes: t
         "_in": open_row & (F.col("need") <= F.col("base") - F.col("up")),
     })
     decided = with_group(
-        judged, ["rank"], {"_any_out": F.bool_or("_out"), "_all_in": F.bool_and("_in")}, window_rows, sizes[1]
+        judged, ["rank"], {"_any_out": F.bool_or("_out"), "_all_in": F.bool_and("_in")}, groups.window_rows, groups.by_order
     )
     now = (
         F.when(new, "done")
@@ -58,7 +77,7 @@ def _step(state: DataFrame, window_rows: int | None, block: int | None, sizes: t
     return decided.select("rank", "product_id", "take", "need", "base", now.alias("state"))
 
 
-def _settle(claims: DataFrame, window_rows: int | None, block: int | None) -> DataFrame:
+def _settle(claims: DataFrame, groups: Groups) -> DataFrame:
     """rank, accepted for the orders of `claims` (rank, product_id, take, need, base).
 
     The rows of an order share one state, and settled rows leave the table, so later rounds get smaller.
@@ -67,11 +86,10 @@ def _settle(claims: DataFrame, window_rows: int | None, block: int | None) -> Da
     root = fresh_path(spark, "admission")
     state = materialise(claims.select("rank", "product_id", "take", "need", "base", F.lit("open").alias("state")), "open")
     schema = state.schema
-    sizes = (largest_group(state, ["product_id"]), largest_group(state, ["rank"]))
     paths: list[str] = []
     while not state.where("state = 'open'").isEmpty():
         for _ in range(STEPS_PER_TABLE):
-            state = _step(state, window_rows, block, sizes)
+            state = _step(state, groups)
         paths.append(f"{root}/round={len(paths)}")
         state.write.parquet(paths[-1])
         state = spark.read.schema(schema).parquet(paths[-1]).where("state IN ('open', 'in')")
@@ -82,19 +100,18 @@ def _settle(claims: DataFrame, window_rows: int | None, block: int | None) -> Da
 
 
 def _admit(
-    orders: DataFrame, lines: DataFrame, steps: DataFrame, products: DataFrame, refused: DataFrame,
-    window_rows: int | None, block: int | None,
+    orders: DataFrame, lines: DataFrame, steps: DataFrame, products: DataFrame, refused: DataFrame, groups: Groups
 ) -> Admission:
     """`lines` have rank, pos, product_id, stock, ask (what the line tests), `steps` rank, product_id, take, need.
 
     `refused` are ranks that are out whatever the stock.
     """
-    live = steps.join(refused.select("rank"), "rank", "left_anti")
+    live = materialise(steps.join(refused.select("rank"), "rank", "left_anti"), "asked")
     # A product whose stock covers all that is asked of it never turns anyone away.
     asked = live.groupBy("product_id").agg(F.sum("asked").alias("_asked"))
     tight = products.select(F.col("id").alias("product_id"), F.col("stock").cast("bigint").alias("base"))
     tight = materialise(tight.join(asked, "product_id").where("_asked > base").drop("_asked"), "tight")
-    settled = materialise(_settle(live.drop("asked").join(tight, "product_id"), window_rows, block), "settled")
+    settled = materialise(_settle(live.drop("asked").join(tight, "product_id"), groups), "settled")
 
     losers = refused.select("rank").unionByName(settled.where("NOT accepted").select("rank"))
     claims = live.join(settled.where("NOT accepted"), "rank", "left_anti").select("rank", "product_id", "take")
@@ -105,8 +122,9 @@ def _admit(
     both = at.select("rank", "product_id", "base", F.lit(0).cast("bigint").alias("take")).unionByName(
         claims.join(tight, "product_id").select("rank", "product_id", "base", "take")
     )
-    met = sums_before(both, ["product_id"], "rank", {"spent": F.col("take")}, window_rows, block)
-    met = met.select("rank", "product_id", (F.col("base") - F.col("spent")).alias("available"))
+    met = _sums_by_product(both, {"spent": F.col("take")}, groups).select(
+        "rank", "product_id", (F.col("base") - F.col("spent")).alias("available")
+    )
     failing = tests.join(met, ["rank", "product_id"], "left").where(
         F.col("stock").isNull() | (F.col("ask") > F.col("available"))
     )
@@ -122,7 +140,7 @@ def _admit(
         F.when(F.col("_out"), F.coalesce("reason", F.lit("no items"))).alias("reason"), "product_id", "available",
     )
     taken = claims.groupBy("product_id").agg(F.sum("take").alias("taken"))
-    return Admission(result, taken, claims)
+    return Admission(result, taken, claims, groups)
 
 
 def order_ranks(orders: DataFrame) -> DataFrame:
@@ -151,7 +169,7 @@ def admit_orders(
         F.sum(qty).alias("take"), F.max(qty).alias("need"), F.sum(F.greatest(qty, F.lit(0))).alias("asked")
     )
     tests = known.select("*", qty.alias("ask"), F.lit(0).cast("bigint").alias("earlier"))
-    return _admit(ranks, tests, steps, products, refused, window_rows, block)
+    return _admit(ranks, tests, steps, products, refused, _groups(known, window_rows, block))
 
 
 def amend_orders(
@@ -173,17 +191,17 @@ def amend_orders(
         "rank", "pos", "product_id", "stock", diff.alias("diff")
     )
     known = materialise(known, "lines")
-    tests = materialise(
-        sums_before(known, ["rank", "product_id"], "pos", {"earlier": F.col("diff")}, window_rows, block).withColumn(
-            "ask", F.col("earlier") + F.col("diff")
-        ),
-        "tests",
+    groups = _groups(known, window_rows, block)
+    earlier = sums_before(
+        known, ["rank", "product_id"], "pos", {"earlier": F.col("diff")}, window_rows, block,
+        min(groups.by_product, groups.by_order),
     )
+    tests = materialise(earlier.withColumn("ask", F.col("earlier") + F.col("diff")), "tests")
     steps = tests.groupBy("rank", "product_id").agg(
         F.sum("diff").alias("take"), F.max("ask").alias("need"),
         F.sum(F.greatest(F.col("diff"), F.lit(0))).alias("asked"),
     )
-    return _admit(ranks, tests, steps, products, ranks.select("rank").limit(0), window_rows, block)
+    return _admit(ranks, tests, steps, products, ranks.select("rank").limit(0), groups)
 
 
 def stock_after(products: DataFrame, admission: Admission) -> DataFrame:
@@ -209,9 +227,7 @@ def place_orders(
         orders, [F.col("rank").asc()],
     )
     placed = materialise(numbered, "placed")
-    left = sums_before(
-        admission.claims, ["product_id"], "rank", {"earlier": F.col("take")}, window_rows, block
-    ).select("rank", "product_id", (F.col("earlier") + F.col("take")).alias("used"))
+    left = _sums_by_product(admission.claims, {"earlier": F.col("take")}, admission.groups).select("rank", "product_id", (F.col("earlier") + F.col("take")).alias("used"))
     ids = placed.select("order_id", "id", "rank")
     detail = item_detail(normalise_items(lines).join(ids.select("order_id"), "order_id", "left_semi"), products, images)
     detail = detail.join(ids, "order_id").join(left, ["rank", "product_id"], "left")
