@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .catalog import rating_summary
 from .lookups import latest, missing_keys, rejected, accepted, rows_for_keys, validate_status
 from .orders import with_user
@@ -94,13 +95,14 @@ def merge_ratings(ratings: DataFrame, digest: DataFrame) -> Changed:
     keys = ["user_id", "product_id"]
     touched = digest.select(*keys, F.col("value").alias("_value"), F.col("first").alias("_first"))
     held = ratings.select(*keys).distinct().withColumn("_held", F.lit(True))
-    flagged = touched.join(held, keys, "left")
+    # Written, as new ids, the new state and the answers all start from it.
+    flagged = materialise(touched.join(held, keys, "left"), "touched")
     added = fresh_ids(flagged.where("_held IS NULL"), ratings, [F.col("_first").asc()])
-    updated = ratings.join(touched, keys, "left").withColumn("value", F.coalesce("_value", "value"))
+    updated = ratings.join(flagged, keys, "left").withColumn("value", F.coalesce("_value", "value"))
     state = updated.select(*ratings.columns).unionByName(
         added.select("id", *keys, F.col("_value").alias("value")).select(*ratings.columns)
     )
-    summary = rating_summary(rows_for_keys(state, digest, "product_id"))
+    summary = rating_summary(rows_for_keys(state, flagged, "product_id"))
     outcome = F.when(F.col("_held"), "updated").otherwise("added").alias("outcome")
     rows = flagged.select(*keys, F.col("_value").alias("value"), outcome).join(summary, "product_id")
     return Changed(state, rows, None)

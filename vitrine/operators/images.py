@@ -33,9 +33,10 @@ def add_images(images: DataFrame, additions: DataFrame) -> DataFrame:
     return images.unionByName(added.select(*images.columns))
 
 
-def _choices_of(images: DataFrame, choices: DataFrame, window_rows: int | None) -> DataFrame:
-    placed = choices.join(images.select(F.col("id").alias("image_id"), "product_id"), "image_id")
-    return ranked(placed, ["product_id"], [F.col("seq").asc()], "_step", window_rows)
+def _choices_of(images: DataFrame, choices: DataFrame) -> DataFrame:
+    """The choices of known images with their product; written, as it is counted, ranked and totalled."""
+    owners = images.select(F.col("id").alias("image_id"), "product_id")
+    return materialise(choices.join(owners, "image_id"), "choices")
 
 
 def set_primary(images: DataFrame, choices: DataFrame, window_rows: int | None = None) -> DataFrame:
@@ -43,8 +44,9 @@ def set_primary(images: DataFrame, choices: DataFrame, window_rows: int | None =
 
     Every step after its own last choice moves an image by one, so the end state needs counts only.
     """
-    steps = _choices_of(images, choices, window_rows)
-    totals = steps.groupBy("product_id").agg(F.count("*").alias("_steps"))
+    made = _choices_of(images, choices)
+    steps = ranked(made, ["product_id"], [F.col("seq").asc()], "_step", window_rows)
+    totals = made.groupBy("product_id").agg(F.count("*").alias("_steps"))
     own = steps.groupBy(F.col("image_id").alias("id")).agg(F.max("_step").alias("_own"))
     moved = F.when(F.col("_own").isNotNull(), 1 + F.col("_steps") - F.col("_own")).otherwise(
         F.col("priority") + F.coalesce("_steps", F.lit(0))
@@ -58,7 +60,8 @@ def set_secondary(images: DataFrame, choices: DataFrame, window_rows: int | None
 
     The steps of a product are folded over each of its images in order, at most `FOLD_STEPS` per pass.
     """
-    steps = _choices_of(images, choices, window_rows).select(
+    made = _choices_of(images, choices)
+    steps = ranked(made, ["product_id"], [F.col("seq").asc()], "_step", window_rows).select(
         "product_id", "_step", "image_id", F.col("priority").cast("bigint").alias("to")
     )
     steps = materialise(steps.withColumn("_pass", F.floor((F.col("_step") - 1) / F.lit(FOLD_STEPS))), "steps")

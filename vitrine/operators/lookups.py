@@ -128,36 +128,34 @@ def validate_unique(requests: DataFrame, accounts: DataFrame, fields: Sequence[s
     """Accept requests in `seq` order while every field is still free; a refused request claims nothing.
 
     Each round settles all requests that come first in the groups of all their fields, and refuses those that share
-    a value with an accepted one. The earliest open request always settles, so the rounds end.
+    a value with an accepted one. The earliest open request always settles, so the rounds end; there are as many as
+    the longest chain of requests that each hang on the one before.
     """
-    keyed = requests.select(seq, *fields)
-    clash = keyed
-    for f in fields:
-        taken = accounts.select(f).where(F.col(f).isNotNull()).distinct().withColumn(f"_has_{f}", F.lit(True))
-        clash = clash.join(taken, f, "left")
-    held = F.lit(False)
-    for f in fields:
-        held = held | F.coalesce(f"_has_{f}", F.lit(False))
-    marked = materialise(clash.select(seq, *fields, held.alias("_held")), "unique")
-    refused = [marked.where("_held").select(seq)]
-    waiting = marked.where("NOT _held").drop("_held")
-    while not waiting.isEmpty():
-        settled = waiting
-        first = F.lit(True)
-        for f in fields:
-            earliest = waiting.where(F.col(f).isNotNull()).groupBy(f).agg(F.min(seq).alias(f"_first_{f}"))
-            settled = settled.join(earliest, f, "left")
-            first = first & (F.coalesce(F.col(f"_first_{f}"), F.col(seq)) == F.col(seq))
-        settled = materialise(settled.select(seq, *fields, first.alias("_first")), "unique")
-        taken, open_rows = settled.where("_first"), settled.where("NOT _first")
+
+    def sharing(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """`rows` with a flag for those that share a value of any field with `others`."""
         hit = F.lit(False)
         for f in fields:
-            names = taken.select(f).where(F.col(f).isNotNull()).distinct().withColumn(f"_hit_{f}", F.lit(True))
-            open_rows = open_rows.join(names, f, "left")
+            values = others.select(f).where(F.col(f).isNotNull()).distinct().withColumn(f"_hit_{f}", F.lit(True))
+            rows = rows.join(values, f, "left")
             hit = hit | F.coalesce(f"_hit_{f}", F.lit(False))
-        checked = materialise(open_rows.select(seq, *fields, hit.alias("_hit")), "unique")
+        return rows.select(seq, *fields, hit.alias("_hit"))
+
+    checked = sharing(requests.select(seq, *fields), accounts)
+    refused = []
+    while True:
         refused.append(checked.where("_hit").select(seq))
         waiting = checked.where("NOT _hit").drop("_hit")
+        settled, first = waiting, F.lit(True)
+        for f in fields:
+            earliest = waiting.where(F.col(f).isNotNull()).groupBy(f).agg(F.min(seq).alias(f"_first_{f}"))
+            settled = settled.join(earliest, f, "left")
+            first = first & (F.coalesce(F.col(f"_first_{f}"), F.col(seq)) == F.col(seq))
+        settled = materialise(settled.select(seq, *fields, first.alias("_first")), "unique")
+        still_open = settled.where("NOT _first").drop("_first")
+        if still_open.isEmpty():
+            break
+        checked = sharing(still_open, settled.where("_first"))
     turned_down = refused[0]
     for more in refused[1:]:
         turned_down = turned_down.unionByName(more)
