@@ -82,8 +82,8 @@ def test_vouchers(spark):
     assert rows(lookups.voucher_by_code(vouchers, codes, as_of()), "code") == [("A",)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_unique_accounts_one_after_another(spark, seed):
+@pytest.mark.parametrize("seed,window_rows", [(1, None), (2, None), (3, 0)])
+def test_unique_accounts_one_after_another(spark, seed, window_rows):
     rng = random.Random(seed)
     names = [None, *"abcdefghij"]
     held = [("a", "j"), (None, "i")]
@@ -97,7 +97,7 @@ def test_unique_accounts_one_after_another(spark, seed):
             mails |= {m} - {None}
     accounts = spark.createDataFrame(held, "username string, email string")
     requests = spark.createDataFrame(sent, "seq bigint, username string, email string")
-    got = lookups.validate_unique(requests, accounts, ["username", "email"])
+    got = lookups.validate_unique(requests, accounts, ["username", "email"], window_rows=window_rows)
     assert rows(got.select("seq", F.col("reject_reason").isNull())) == want
 
 

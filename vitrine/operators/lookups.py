@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import fresh_path, materialise
+from .ranking import largest_group, with_group
 
 # The order states and the voucher types that are accepted.
 ORDER_STATUSES = ["Created", "Accepted", "Preparing", "Shipping", "Delivered", "Canceled"]
@@ -124,42 +125,44 @@ def validate_image(images: DataFrame) -> DataFrame:
     return _checked(images, F.coalesce(F.col("link"), F.lit("")) != "", F.lit("link is required"))
 
 
-def validate_unique(requests: DataFrame, accounts: DataFrame, fields: Sequence[str], seq: str = "seq") -> DataFrame:
+def validate_unique(
+    requests: DataFrame, accounts: DataFrame, fields: Sequence[str], seq: str = "seq", window_rows: int | None = None
+) -> DataFrame:
     """Accept requests in `seq` order while every field is still free; a refused request claims nothing.
 
     Each round settles all requests that come first in the groups of all their fields, and refuses those that share
     a value with an accepted one. The earliest open request always settles, so the rounds end; there are as many as
-    the longest chain of requests that each hang on the one before.
+    the longest chain of requests that each hang on the one before. Null never clashes.
     """
-
-    def sharing(rows: DataFrame, others: DataFrame) -> DataFrame:
-        """`rows` with a flag for those that share a value of any field with `others`."""
-        hit = F.lit(False)
-        for f in fields:
-            values = others.select(f).where(F.col(f).isNotNull()).distinct().withColumn(f"_hit_{f}", F.lit(True))
-            rows = rows.join(values, f, "left")
-            hit = hit | F.coalesce(f"_hit_{f}", F.lit(False))
-        return rows.select(seq, *fields, hit.alias("_hit"))
-
-    checked = sharing(requests.select(seq, *fields), accounts)
-    refused = []
-    while True:
-        refused.append(checked.where("_hit").select(seq))
-        waiting = checked.where("NOT _hit").drop("_hit")
-        settled, first = waiting, F.lit(True)
+    spark = requests.sparkSession
+    taken, clash = F.lit(False), requests.select(seq, *fields)
+    for f in fields:
+        held = accounts.select(f).where(F.col(f).isNotNull()).distinct().withColumn(f"_held_{f}", F.lit(True))
+        clash = clash.join(held, f, "left")
+        taken = taken | F.coalesce(f"_held_{f}", F.lit(False))
+    # Every null is a group of its own.
+    keys = {f: F.struct(f, F.when(F.col(f).isNull(), F.col(seq)).alias("own")) for f in fields}
+    start = clash.select(
+        seq, *[key.alias(f) for f, key in keys.items()], F.when(taken, "out").otherwise("open").alias("state")
+    )
+    state = materialise(start, "unique")
+    schema, paths = state.schema, [fresh_path(spark, "unique")]
+    state.where("state = 'out'").write.parquet(paths[0])
+    state = state.where("state = 'open'")
+    sizes = {f: largest_group(state, [f]) for f in fields}
+    while not state.isEmpty():
+        first, lost = F.lit(True), F.lit(False)
         for f in fields:
-            earliest = waiting.where(F.col(f).isNotNull()).groupBy(f).agg(F.min(seq).alias(f"_first_{f}"))
-            settled = settled.join(earliest, f, "left")
-            first = first & (F.coalesce(F.col(f"_first_{f}"), F.col(seq)) == F.col(seq))
-        settled = materialise(settled.select(seq, *fields, first.alias("_first")), "unique")
-        still_open = settled.where("NOT _first").drop("_first")
-        if still_open.isEmpty():
-            break
-        checked = sharing(still_open, settled.where("_first"))
-    turned_down = refused[0]
-    for more in refused[1:]:
-        turned_down = turned_down.unionByName(more)
-    turned_down = turned_down.withColumn("_refused", F.lit(True))
-    free = F.col("_refused").isNull()
+            state = with_group(state, [f], {f"_first_{f}": F.min(seq)}, window_rows, sizes[f])
+            first = first & (F.col(f"_first_{f}") == F.col(seq))
+        state = state.withColumn("_in", first)
+        for f in reversed(fields):
+            state = with_group(state, [f], {f"_lost_{f}": F.bool_or("_in")}, window_rows, sizes[f])
+            lost = lost | F.col(f"_lost_{f}")
+        now = F.when(F.col("_in"), "in").when(lost, "out").otherwise("open")
+        paths.append(fresh_path(spark, "unique"))
+        state.select(seq, *fields, now.alias("state")).write.parquet(paths[-1])
+        state = spark.read.schema(schema).parquet(paths[-1]).where("state = 'open'")
+    refused = spark.read.schema(schema).parquet(*paths).where("state = 'out'").select(seq, F.lit(True).alias("_refused"))
     reason = F.lit(" or ".join(fields) + " already exists")
-    return _checked(requests.join(turned_down, seq, "left"), free, reason).drop("_refused")
+    return _checked(requests.join(refused, seq, "left"), F.col("_refused").isNull(), reason).drop("_refused")
