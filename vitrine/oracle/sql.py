@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import stock
 from .views import with_views
 
 ORACLES: dict[str, str] = {}
@@ -358,6 +359,11 @@ UNION ALL
 SELECT (SELECT max(id) FROM images) + row_number() OVER (ORDER BY seq), product_id, link, priority
 FROM ({ADDED.format(where="WHERE link IS NOT NULL")}) a""")
 
+# Orders against stock
+oracle("order_admission", stock.ADMISSION, stock.PLACED, recursive=True)
+oracle("order_place", stock.PLACE, stock.PLACED, recursive=True)
+oracle("order_amend", stock.AMEND, stock.AMENDED, recursive=True)
+
 # Streams: the end state
 oracle("stream_rating_upsert", """
 SELECT coalesce(h.id, (SELECT max(id) FROM held_rating) + n.k) AS id, r.user_id, r.product_id, r.value

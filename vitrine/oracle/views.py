@@ -39,6 +39,10 @@ SELECT order_id, pos, CASE WHEN coalesce(product_id, 0) <> 0 THEN product_id ELS
   CAST(CASE WHEN coalesce(qty, 0) <> 0 THEN qty WHEN coalesce(quantity, 0) <> 0 THEN quantity ELSE 0 END AS BIGINT) AS amended_qty,
   quantity, qty AS raw_qty, selected_option
 FROM line"""
+VIEWS["amended"] = """
+SELECT order_id, pos, CASE WHEN pos % 4 = 0 THEN product_id + 1 ELSE product_id END AS product_id,
+  greatest(coalesce(qty, 2) + 3 * pos - 5, 0) AS qty
+FROM order_items"""
 VIEWS["first_image"] = """
 SELECT product_id, link AS primary_image FROM (
   SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY priority ASC NULLS LAST, id ASC) AS rn FROM images) t
