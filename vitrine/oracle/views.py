@@ -59,6 +59,12 @@ SELECT p.id, p.name, p.description, CAST(p.price AS DOUBLE) AS price, CAST(p.end
 FROM product p LEFT JOIN first_image i ON i.product_id = p.id
 LEFT JOIN (SELECT product_id, round(avg(value), 2) AS avg_rating, count(*) AS rating_count FROM rating
            GROUP BY product_id) r ON r.product_id = p.id"""
+VIEWS["card_json"] = """
+SELECT c.id, concat('{"id":', CAST(c.id AS VARCHAR), ',"name":', to_json(c.name), ',"description":', to_json(c.description),
+  ',"price":', coalesce(CAST(p.price AS VARCHAR), 'null'), ',"endprice":', coalesce(CAST(p.endprice AS VARCHAR), 'null'),
+  ',"primary_image":', coalesce(CAST(to_json(c.primary_image) AS VARCHAR), 'null'),
+  ',"avg_rating":', CAST(CAST(c.avg_rating AS DOUBLE) AS VARCHAR), ',"rating_count":', CAST(c.rating_count AS VARCHAR), '}') AS body
+FROM card c JOIN product p ON p.id = c.id"""
 VIEWS["placed_image"] = """
 SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY priority ASC NULLS LAST, id ASC) AS pos,
   id, link, priority FROM images"""
