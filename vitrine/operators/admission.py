@@ -13,9 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import or_else
 from ..storage import fresh_path, materialise
-from .catalog import with_primary_image
 from .orders import item_detail, last_quantities, normalise_items, normalise_orders
 from .ranking import fresh_ids, largest_group, positions, sums_before, with_group
 
