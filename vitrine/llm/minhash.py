@@ -1,11 +1,10 @@
 """Near-duplicate documents: universal hash minima, bands, signature check, exact check, connected components.
 
-Documents with the same shingle set are one class, so copies meet once. Classes that share a band are compared with a
-few pivots of that bucket, never all with all. What the pivots link becomes one component; in buckets where several
-components are left, members of the rarer components become the next pivots, until each bucket holds one component or
-every member has been a pivot. So each pair of classes that shares a band is either compared or connected anyway, while
-a bucket of n near copies costs n comparisons. A pair at similarity 0.85 shares one of the 30 bands of 6 minima with
-probability 1 - 7e-7.
+Documents with the same shingle set are one class, so copies meet once. First, every class that shares a band's bucket
+with others is compared with two pivots of the bucket: a bucket of n near copies costs 2n pairs. What they link becomes
+one component. In buckets that still hold several components, the members outside the largest one are compared with
+all others, block by block inside tasks that emit links only. So two classes that share a bucket are compared, or
+connected anyway. A pair at similarity 0.85 shares one of the 30 buckets of 6 minima with probability 1 - 7e-7.
 """
 
 from __future__ import annotations
@@ -24,7 +23,9 @@ WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 30, 6
 SLACK = 0.18  # about six standard deviations of the share of equal minima
-FIRST_PIVOTS, PIVOTS = 1, 16
+PIVOTS = 2
+BLOCK = 256  # classes of a bucket that meet as many others in one step of a task
+PART_ROWS = 2048  # rows of such blocks in one task's group, on average
 _U = np.uint64
 
 
@@ -120,7 +121,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """`class` and full shingle set of the wanted classes; `wanted` has one `text_id` of each."""
+    """`wanted` (one row per class, with one of its texts' `text_id`) and the full shingle sets."""
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
@@ -130,44 +131,91 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     schema=pa.schema([("class", pa.binary()), ("shingles", pa.list_(pa.int64()))]),
                 )
 
-    texts = _named(docs).join(wanted, "text_id").groupBy("class").agg(F.any_value("text").alias("text"))
-    return texts.mapInArrow(listed, "class binary, shingles array<long>")
-
-
-class _Verifier:
-    """Checks pairs of classes: first by their minima, then by their full sets, which are gathered when first needed."""
-
-    def __init__(self, docs: DataFrame, sketch: DataFrame, words: int, percent: int, n_minima: int):
-        self.docs, self.words, self.percent = docs, words, percent
-        self.least_equal = (percent / 100 - SLACK) * n_minima
-        self.classes = sketch.where("n_shingles > 0").select("class", "text_id", "n_shingles", "minima")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        nodes = pairs.selectExpr("explode(array(a, b)) class").distinct()
-        known = materialise(
-            self.classes.join(nodes, "class").groupBy("class")
-            .agg(F.min(F.struct("text_id", "n_shingles", "minima")).alias("c")).select("class", "c.*"), "minima",
-        )
-        a = known.select(F.col("class").alias("a"), F.col("minima").alias("ma"), F.col("n_shingles").alias("na"))
-        b = known.select(F.col("class").alias("b"), F.col("minima").alias("mb"), F.col("n_shingles").alias("nb"))
-        equal = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = materialise(
-            pairs.join(a, "a").join(b, "b")
-            .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-            .where(equal >= F.lit(self.least_equal)).select("a", "b", "na", "nb"), "near",
-        )
-        wanted = known.join(near.selectExpr("explode(array(a, b)) class").distinct(), "class").select("class", "text_id")
-        sets = materialise(_sets(self.docs, wanted, self.words), "sets")
-        both = F.size(F.array_intersect("sa", "sb"))
-        checked = (
-            near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
-            .withColumn("both", both.cast("long"))
-        )
-        return materialise(
-            checked.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * self.percent)
-            .select("a", "b"), "links",
-        )
+    texts = (
+        _named(docs).join(wanted.select("class", "text_id"), "text_id")
+        .groupBy("class").agg(F.any_value("text").alias("text"))
+    )
+    sets = texts.mapInArrow(listed, "class binary, shingles array<long>")
+    return sets.join(wanted.drop("text_id"), "class")
+
+
+def _pivot_links(live: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame:
+    """Links between the first classes of each bucket and its others: checked by minima, then by full sets."""
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("class"))
+    pivots = live.withColumn("place", place).where(F.col("place") <= PIVOTS).select("bucket", F.col("class").alias("b"))
+    pairs = materialise(live.join(pivots, "bucket").where("class > b").selectExpr("class a", "b").distinct(), "pairs")
+    a = sets.selectExpr("class a", "minima ma", "n_shingles na", "shingles sa")
+    b = sets.selectExpr("class b", "minima mb", "n_shingles nb", "shingles sb")
+    equal = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return (
+        pairs.join(a, "a").join(b, "b")
+        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        .where(equal >= F.lit((percent / 100 - SLACK) * n_minima))
+        .withColumn("both", both)
+        .where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
+    )
+
+
+def _linked_in_block(asking: list, asked: list, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """One link for every pair of labels that a class of `asking` links with a class of `asked` (class, label, set)."""
+    sizes = np.array([len(s) for _, _, s in asked])
+    values, codes = np.unique(np.concatenate([s for _, _, s in asked]), return_inverse=True)
+    owner = np.repeat(np.arange(len(asked)), sizes)
+    labels = np.array([label for _, label, _ in asked], dtype=object)
+    for node, label, own in asking:
+        at = np.searchsorted(values, own)
+        held = np.zeros(len(values), dtype=bool)
+        known = at < len(values)
+        held[at[known][values[at[known]] == own[known]]] = True
+        both = np.bincount(owner[held[codes]], minlength=len(asked))
+        near = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (labels != label))
+        for other in {labels[k]: k for k in near}.values():
+            yield node, asked[other][0]
+
+
+def _block_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within the buckets of `labelled` (`bucket`, `class`, `label`)."""
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("bucket").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")
+    ).where("labels > 1").selectExpr(
+        "bucket", "top.label top_label", f"ceil(n / {BLOCK}) blocks", f"ceil((n - top.n) / {BLOCK}) askers"
+    )
+    known = materialise(
+        labelled.join(buckets, "bucket").withColumn("own", F.xxhash64("class", "bucket"))
+        .withColumn("rows", F.col("askers") + F.when(F.col("label") != F.col("top_label"), F.col("blocks")).otherwise(0)),
+        "open",
+    )
+    total = known.agg(F.sum("rows")).first()[0] or 0
+    every = "bucket", "class", "label"
+    asked = known.select(
+        *every, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1)).alias("i"),
+        F.expr("pmod(own, blocks)").alias("j"),
+    )
+    asking = known.where("label <> top_label").select(
+        *every, F.lit(True).alias("asks"), F.expr("pmod(own, askers)").alias("i"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"),
+    )
+    part = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(total // PART_ROWS + 1))
+    met = asked.unionAll(asking).withColumn("part", part).join(sets.select("class", "shingles"), "class")
+
+    def linked(table: pa.Table) -> pa.Table:
+        groups: dict = {}
+        columns = [table.column(c).to_pylist() for c in ("bucket", "i", "j", "asks", "class", "label")]
+        lists = table.column("shingles").combine_chunks()
+        for k, (bucket, i, j, asks, node, label) in enumerate(zip(*columns, strict=True)):
+            found = np.asarray(lists[k].values).view(np.uint64)
+            groups.setdefault((bucket, i, j), ([], []))[asks].append((node, label, found))
+        links = {
+            (max(a, b), min(a, b))
+            for asked, asking in groups.values() if asked and asking for a, b in _linked_in_block(asking, asked, percent)
+        }
+        return pa.table({
+            "a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary()),
+        })
+
+    return met.groupBy("part").applyInArrow(linked, "a binary, b binary")
 
 
 def near_duplicates(
@@ -182,62 +230,33 @@ def near_duplicates(
     columns are not read; no rows give no rows.
     """
     sketch = materialise(_sketch(docs, words, bands, rows), "sketch")
-    verifier = _Verifier(docs, sketch, words, percent, bands * rows)
     members = (
         sketch.where("n_shingles > 0").select("class", "buckets").distinct()
         .select(F.explode("buckets").alias("bucket"), "class")
     )
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     live = materialise(members.join(shared, "bucket"), "buckets")
-
-    links = labels = None
-    pivots_each = FIRST_PIVOTS
-    while not live.isEmpty():
-        if labels is None:
-            labelled = live.withColumn("label", F.col("class")).withColumn("size", F.lit(1))
-        else:
-            labelled = (
-                live.join(labels, live["class"] == labels["node"], "left")
-                .select("bucket", "class", F.coalesce("label", "class").alias("label"))
-            )
-            sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-            mixed = sizes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-            labelled = labelled.join(sizes.join(mixed, "bucket"), ["bucket", "label"])
-        labelled = materialise(labelled.select("bucket", "class", "label", "size"), "labelled")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "label", "class"))
-        pivots = materialise(
-            labelled.withColumn("place", place).where(F.col("place") <= pivots_each)
-            .select("bucket", F.col("class").alias("pivot"), F.col("label").alias("pivot_label")), "pivots",
-        )
-        pairs = (
-            labelled.join(pivots, "bucket").where("label <> pivot_label")
-            .select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-        )
-        found = verifier.links(materialise(pairs, "pairs"))
-        if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            labels = materialise(components(links), "labels")
-        live = materialise(
-            labelled.join(pivots, (labelled["bucket"] == pivots["bucket"]) & (labelled["class"] == pivots["pivot"]),
-                          "left_anti").select("bucket", "class"), "buckets",
-        )
-        if labels is None:
-            labels = labelled.select(F.col("class").alias("node"), F.col("class").alias("label")).limit(0)
-        pivots_each = PIVOTS
+    wanted = sketch.where("n_shingles > 0").groupBy("class").agg(
+        F.min(F.struct("text_id", "n_shingles", "minima")).alias("c")
+    ).join(live.select("class").distinct(), "class").select("class", "c.*")
+    sets = materialise(_sets(docs, wanted, words), "sets")
+
+    links = materialise(_pivot_links(live, sets, percent, bands * rows), "links")
+    labels = components(links)
+    labelled = live.join(labels, live["class"] == labels["node"], "left").select(
+        "bucket", "class", F.coalesce("label", "class").alias("label")
+    )
+    more = materialise(_block_links(labelled, sets, percent), "links")
+    labels = components(labels.selectExpr("node a", "label b").unionAll(more))
 
     listed = sketch.select("doc_id", "n_shingles", "class")
-    if labels is not None:
-        least = (
-            listed.join(labels, listed["class"] == labels["node"])
-            .groupBy("label").agg(F.min("doc_id").alias("linked_id"))
-        )
-        linked = labels.join(least, "label").select(F.col("node").alias("class"), "linked_id")
-    else:
-        linked = listed.select("class", F.col("doc_id").alias("linked_id")).limit(0)
-    own = listed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("own_id"))
-    known = materialise(
-        own.join(linked, "class", "left").select("class", F.coalesce("linked_id", "own_id").alias("least_id")), "least"
+    least = (
+        listed.join(labels, listed["class"] == labels["node"])
+        .groupBy("label").agg(F.min("doc_id").alias("linked_id"))
     )
+    linked = labels.join(least, "label").select(F.col("node").alias("class"), "linked_id")
+    own = listed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("own_id"))
+    known = own.join(linked, "class", "left").select("class", F.coalesce("linked_id", "own_id").alias("least_id"))
     component = F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
     return listed.join(known, "class", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
