@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing
+from . import minhash, packing, secrets, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,25 @@ def op1_hierarchical_packing(spark, folder):
 @query
 def op2_minhash_components(spark, folder):
     return minhash.near_duplicates(documents(spark, folder))
+
+
+@query
+def op7_hypergeometric_mix(spark, folder):
+    return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_blob_ledger(spark, folder):
+    docs = secrets.find_secrets(documents(spark, folder).select("doc_id", "text"))
+    base = F.filter("secret_spans", lambda x: x["place"] <= len(secrets.BASE))
+
+    def count(kind):
+        return F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return docs.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"),
+    )
