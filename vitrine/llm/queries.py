@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, secrets, mixing
+from . import attribution, language, minhash, mixing, packing, permutations, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,21 @@ def op9_blob_ledger(spark, folder):
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"),
     )
+
+
+@query
+def op4_permutation_index(spark, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return permutations.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op5_string_kernel(spark, folder):
+    docs = documents(spark, folder)
+    held_out = F.coalesce(~language.in_training(F.col("doc_id")), F.lit(False))
+    return language.identify(docs).select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query
+def op10_offset_attribution(spark, folder):
+    return attribution.token_counts(documents(spark, folder))
