@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, language, minhash, mixing, packing, permutations, secrets
+from . import attribution, language, licenses, minhash, mixing, packing, permutations, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,16 @@ def op5_string_kernel(spark, folder):
 @query
 def op10_offset_attribution(spark, folder):
     return attribution.token_counts(documents(spark, folder))
+
+
+@query
+def op6_line_frequency(spark, folder):
+    return quality.line_frequency(documents(spark, folder))
+
+
+@query
+def op8_license_rules(spark, folder):
+    return licenses.scan_licenses(documents(spark, folder))
+
+
+ORACLES["op6_line_frequency"] = quality.ORACLE_SQL
