@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, language, licenses, minhash, mixing, packing, permutations, quality, secrets
+from . import attribution, language, licenses, minhash, mixing, packing, permutations, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op8_license_rules(spark, folder):
 
 
 ORACLES["op6_line_frequency"] = quality.ORACLE_SQL
+
+
+@query
+def op3_lyndon_suffixes(spark, folder):
+    found = repeats.remove_repeats(documents(spark, folder))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
