@@ -125,3 +125,17 @@ def test_items_dedupe_keeps_the_first_of_product_and_option(spark):
         "order_id bigint, pos bigint, product_id bigint, id bigint, selected_option string",
     )
     assert rows(orders.dedupe_items(table), "order_id", "pos") == [(1, 1), (1, 3), (2, 1)]
+
+
+def test_repeated_keys_and_codes_do_not_double_rows(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    batch = spark.createDataFrame([(1, "x"), (1, "y"), (9, "z")], "id long, name string")
+    assert sorted(tuple(r) for r in changes.apply_update(table, batch, ["name"]).table.collect()) == [(1, "y"), (2, "b")]
+    as_of = F.to_timestamp_ntz(F.lit("2020-01-01 00:00:00"))
+    vouchers = spark.createDataFrame(
+        [(1, "c", True, "2019-01-01"), (2, "c", True, "2021-01-01"), (3, "c", True, "2022-01-01")],
+        "id long, code string, active boolean, d string",
+    ).select("id", "code", "active", F.to_timestamp_ntz("d").alias("expire_date"))
+    orders = spark.createDataFrame([(7, "c"), (8, "other")], "id long, voucher_code string")
+    found = lookups.voucher_state_of_orders(orders, vouchers, as_of).collect()
+    assert sorted((r["id"], r["voucher_id"], r["voucher_state"]) for r in found) == [(7, 2, "valid"), (8, None, "unknown")]

@@ -62,3 +62,12 @@ def test_fresh_ids_count_on(spark):
     batch = spark.createDataFrame([("y",), ("x",)], "name string")
     assert rows(ranking.fresh_ids(batch, table, [F.col("name").asc()]), "id", "name") == [(10, "x"), (11, "y")]
     assert rows(ranking.fresh_ids(batch, table.limit(0), [F.col("name").asc()]), "id", "name") == [(1, "x"), (2, "y")]
+
+
+def test_rows_with_null_keys_stay_in_large_groups(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7), ("a", 2, 8)], "k string, r int, v int")
+    for rows_ in (2, 0):
+        total = ranking.with_group(df, ["k"], {"t": F.sum("v")}, window_rows=rows_)
+        assert sorted(r["t"] for r in total.collect()) == [11, 11, 15, 15]
+        before = ranking.sums_before(df, ["k"], "r", {"b": F.col("v")}, window_rows=rows_, block=1)
+        assert sorted(r["b"] for r in before.collect()) == [0, 0, 5, 7]

@@ -34,8 +34,13 @@ def apply_insert(table: DataFrame, batch: DataFrame, order: Sequence[Column], id
 def apply_update(
     table: DataFrame, batch: DataFrame, cols: Sequence[str], key: str = "id", order: Sequence[str] | None = None
 ) -> Changed:
-    """Replace `cols` by key; a listed column the batch lacks becomes null. `order` picks the last of repeated keys."""
-    last = latest(batch, [key], order) if order else batch
+    """Replace `cols` by key; a listed column the batch lacks becomes null.
+
+    `order` picks the last of repeated keys; without it the greatest row by its columns counts, so no row of the table
+    is ever doubled.
+    """
+    rest = [c for c in batch.columns if c != key]
+    last = latest(batch, [key], order or rest) if rest else batch.distinct()
     kinds = dict(table.dtypes)
     new = last.select(
         key, F.lit(True).alias("_hit"),

@@ -42,7 +42,7 @@ def catalog_filter(
     """Products by the given conditions only; % and _ in the search text act as wildcards."""
     if active_only:
         products = products.where(F.col("active"))
-    if category_id:
+    if category_id is not None:
         products = products.where(F.col("category_id") == category_id)
     if search:
         products = products.where(F.col("name").ilike(f"%{search}%"))
@@ -69,10 +69,14 @@ def voucher_by_code(vouchers: DataFrame, codes: DataFrame, as_of: Column) -> Dat
 
 
 def voucher_state_of_orders(orders: DataFrame, vouchers: DataFrame, as_of: Column) -> DataFrame:
-    """Every order with the state of its voucher code: valid, inactive, expired or unknown."""
-    known = vouchers.select(
-        F.col("code").alias("voucher_code"), F.col("id").alias("voucher_id"), F.col("active").alias("_active"),
-        "expire_date",
+    """Every order once, with the state of its voucher code: valid, inactive, expired or unknown.
+
+    Of several vouchers with one code a valid one counts first, then the one with the lowest id.
+    """
+    valid = F.coalesce(F.col("active") & (F.col("expire_date") > as_of), F.lit(False))
+    one = F.min_by(F.struct("id", "active", "expire_date"), F.struct(~valid, F.col("id"))).alias("v")
+    known = vouchers.groupBy(F.col("code").alias("voucher_code")).agg(one).select(
+        "voucher_code", F.col("v.id").alias("voucher_id"), F.col("v.active").alias("_active"), "v.expire_date"
     )
     state = (
         F.when(F.col("voucher_id").isNull(), "unknown")

@@ -21,6 +21,11 @@ TOP_ROWS = 100_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the task number above these bits
 
 
+def _same(left: DataFrame, keys: Sequence[str], right: DataFrame) -> Column:
+    """Equal keys, nulls included; the right side names them `_k0`, `_k1`, …"""
+    return reduce(Column.__and__, [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)])
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     found = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("n")).first()
     return found["n"] or 0
@@ -52,8 +57,7 @@ def ranked(
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     placed = positions(df, [*[F.col(k).asc() for k in keys], *order], "_at")
     first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_at").alias("_first"))
-    same = reduce(Column.__and__, [placed[k].eqNullSafe(first[f"_k{i}"]) for i, k in enumerate(keys)])
-    found = placed.join(first, same).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
+    found = placed.join(first, _same(placed, keys, first)).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
     # Written, because a later grouping by more columns would else keep the partitions of this join, hot key included.
     return materialise(found, "ranked")
 
@@ -83,7 +87,10 @@ def sums_before(
     local = blocked.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{n}") for n, c in sums.items()]
     )
-    return local.join(carried, [*keys, "_block"]).select(
+    held = carried.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_block"])], *[f"_c_{n}" for n in sums]
+    )
+    return local.join(held, _same(local, [*keys, "_block"], held)).select(
         *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums]
     )
 
@@ -92,7 +99,7 @@ def with_group(
     df: DataFrame, keys: Sequence[str], values: dict[str, Column], window_rows: int | None = None,
     largest: int | None = None,
 ) -> DataFrame:
-    """Every row with aggregates of its whole group; keys must not be null.
+    """Every row with aggregates of its whole group; rows with a null key are a group like others.
 
     Up to `WINDOW_ROWS` per group this is one window (one shuffle); larger groups are aggregated and joined back, where
     the join may split them.
@@ -102,7 +109,10 @@ def with_group(
     if largest <= (WINDOW_ROWS if window_rows is None else window_rows):
         group = Window.partitionBy(*keys)
         return df.select("*", *[value.over(group).alias(name) for name, value in values.items()])
-    return df.join(df.groupBy(*keys).agg(*[value.alias(name) for name, value in values.items()]), list(keys))
+    found = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        *[value.alias(name) for name, value in values.items()]
+    )
+    return df.join(found, _same(df, keys, found)).select(*[df[c] for c in df.columns], *values)
 
 
 def page_index(df: DataFrame, order: Sequence[Column], limit: int = 10) -> DataFrame:
@@ -121,6 +131,8 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int | None = 1, limit
     Early pages are a top-k; pages beyond `TOP_ROWS` rows come from the distributed positions, so that the rows
     before them never gather in one place.
     """
+    # The remaining columns break ties, so that both ways below, and every run, agree on a page.
+    order = [*order, *[F.col(c) for c, kind in df.dtypes if "map<" not in kind]]
     page = page if page and page > 0 else 1
     limit = limit if limit and limit > 0 else 10
     total = df.count()

@@ -28,6 +28,10 @@ def _run(stream: DataFrame, work, folder: str) -> None:
 
 
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The batches taken in so far; a stream that had no files yet has left no folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], like.schema)
     return spark.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
