@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-PIVOTS = 64
-NEAREST = 24
-SHARE = 0.3  # of a block's vectors that are reranked
+PIVOTS = 128
+NEAREST = 64
+SHARE = 0.4  # of a block's vectors that are reranked
 K = 20
 INDEX_BLOCK, QUERY_BLOCK = 8192, 2048
 
