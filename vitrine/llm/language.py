@@ -77,7 +77,9 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int
             out.append(np.packbits(row).tobytes())
         return pd.Series(out)
 
-    sample = labelled.join(cuts, "lang").where("h <= cut").dropDuplicates(["lang", "h"])
+    # One row per language, of which the driver keeps many more rows below: small enough to go to every executor, so that
+    # the texts of a frequent language need not meet in one task.
+    sample = labelled.join(F.broadcast(cuts), "lang").where("h <= cut").dropDuplicates(["lang", "h"])
     rows = sample.select("lang", "h", bits("text").alias("bits")).orderBy("lang", "h").collect()
     languages = sorted({r["lang"] for r in rows})
     if not rows:
