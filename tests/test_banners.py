@@ -15,7 +15,7 @@ SHAPES = {
     9: ("Category", '[{"categoryIds":[1,99]},{"categoryIds":[2]}]'), 10: ("Category", '[{"categoryIds":1}]'),
     11: ("Slider", '["a",{"x":null},true]'), 12: ("Single", "[]"), 13: ("List", None), 14: ("Timer", "[]"),
     15: ("Timer", None), 16: ("Timer", '[{"endDate":"d","productIds":[{"id":2},1]}]'), 17: ("Category", None),
-    18: ("Category", "[]"),
+    18: ("Category", "[]"), 19: ("Timer", '[{"productIds":[true,"2",1.5,1]}]'),
 }
 P1, P2, C1, C2, C0 = "p1", "p2", "c1", "c2", "c?"
 ASIS = {k: json.loads(m) if m else None for k, (_, m) in SHAPES.items()}
@@ -28,18 +28,20 @@ def timer(end, *products):
 NUMBERS = {1: [[P1], [P2], [P2], None], 2: [[P2]]}
 LISTED = {8: None, 9: [C1, C0, C2], 10: None, 17: None, 18: None}
 SINGLE = {8: [C1, C2, None]}
-TIMED = {5: [timer("2030-01-01", P2, P1, P1)], 6: [timer("2030-02-01")], 16: [timer("d", P1)]}
+TIMED = {5: [timer("2030-01-01", P2, P1, P1)], 6: [timer("2030-02-01")], 16: [timer("d", P1)],
+         19: [timer(None, P2, P1)]}
 OBJECTS = {3: [{"products": [P2, P1, P2]}], 4: [{"products": None}]}
 EXPECTED = {
     "ADMIN": NUMBERS | LISTED | TIMED,
     "ADMIN_PRODUCTS": NUMBERS | SINGLE | {
         5: [timer("2030-01-01", P1, P2)], 6: [timer("2030-02-01")], 7: [timer(None)], 14: None, 15: [timer(None)],
-        16: [timer("d", P1)],
+        16: [timer("d", P1)], 19: [timer(None, P1, P2)],
     },
     "CLIENT": NUMBERS | SINGLE,
     "CLIENT_PRODUCTS": OBJECTS | LISTED | TIMED,
     "CLIENT_BY_ID": OBJECTS | LISTED | {
         5: [{"products": [P2, P1, P1]}], 6: [{"products": None}], 16: [{"products": [P2, P1]}],
+        19: [{"products": [P2, P1]}],
     },
 }
 
@@ -94,6 +96,6 @@ def test_product_fields(shop):
 
 def test_order_and_broken_maps(spark, shop):
     table = shop[0]
-    assert [r.id for r in banners.sort_banners(table).collect()] == [*range(2, 19, 2), *range(1, 18, 2)]
+    assert [r.id for r in banners.sort_banners(table).collect()] == [*range(2, 19, 2), *range(1, 20, 2)]
     broken = spark.createDataFrame([(1, "List", "{oops", 1), (2, "List", "[1]", 1)], table.schema)
     assert rows(banners.quarantined_banners(broken), "banner_id") == [(1,)]

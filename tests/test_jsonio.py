@@ -13,14 +13,16 @@ def test_items_of_odd_texts(spark):
         [
             (1, '[{"product_id":"7","quantity":2,"selectedOption":"L"},{"id":8,"price":"1.50"},5]'),
             (2, "not json"), (3, '{"product_id":1}'), (4, None), (5, "[]"), (6, ' [{"product_id":0,"id":4}]'),
+            (7, '\n\t[{"id":9,"quantity":3000000000}]'),
         ],
         "id bigint, items string",
     )
     lines = jsonio.decode_items(docs)
     assert rows(lines, "order_id", "pos", "product_id", "id", "quantity", "selected_option") == [
         (1, 1, 7, None, 2, "L"), (1, 2, None, 8, None, None), (1, 3, None, None, None, None), (6, 1, 0, 4, None, None),
+        (7, 1, None, 9, 3000000000, None),
     ]
-    assert rows(orders.item_products(lines)) == [(1, 7), (1, 8), (6, 4)]
+    assert rows(orders.item_products(lines)) == [(1, 7), (1, 8), (6, 4), (7, 9)]
 
 
 def test_long_orders_come_in_numbered_documents(spark):
@@ -34,7 +36,7 @@ def test_long_orders_come_in_numbered_documents(spark):
 def test_kinds_of_map_elements(spark):
     maps = {
         1: '[1, 2.5, "a", true, null, {"x": 1}, [3]]', 2: "7", 3: "[]", 4: None, 5: "{broken", 6: '{"endDate":"d"}',
-        7: '"word"',
+        7: '"word"', 8: "\n[1]", 9: "1,2", 10: "",
     }
     table = spark.createDataFrame(list(maps.items()), "id bigint, map string").selectExpr(
         "id", "'List' AS type", "1 AS priority", "map"
@@ -45,7 +47,8 @@ def test_kinds_of_map_elements(spark):
         (1, 4, "boolean", "true", False), (1, 5, "null", "null", False), (1, 6, "object", '{"x":1}', False),
         (1, 7, "array", "[3]", False), (2, 1, "number", "7", False), (3, None, None, None, False),
         (4, 1, "null", "null", False), (5, None, None, None, True), (6, 1, "object", '{"endDate":"d"}', False),
-        (7, 1, "string", '"word"', False),
+        (7, 1, "string", '"word"', False), (8, 1, "number", "1", False), (9, None, None, None, True),
+        (10, None, None, None, True),
     ]
 
 

@@ -54,7 +54,10 @@ def test_pages(spark, monkeypatch):
     first = ranking.paginate(df, order, page=-1, limit=0)
     assert rows(first, "id") == [(i,) for i in range(85, 95)]
     assert rows(ranking.page_index(df, order, 30)) == [(i, (94 - i) // 30 + 1, (94 - i) % 30 + 1) for i in range(95)]
-    assert ranking.paginate(df.limit(0), order).count() == 0
+    ended = ranking.paginate(df, order, page=5, limit=30).collect()
+    assert [tuple(r) for r in ended] == [(*[None] * len(df.columns), 5, 30, 95, 4)]
+    empty = ranking.paginate(df.limit(0), order).collect()
+    assert [tuple(r) for r in empty] == [(*[None] * len(df.columns), 1, 10, 0, 0)]
 
 
 def test_fresh_ids_count_on(spark):

@@ -35,7 +35,8 @@ def test_status(spark, tmp_path):
     streams.take_in_status(stream, f"{tmp_path}/home")
     done = streams.status_now(shop.shop_orders, shop.users, stream, f"{tmp_path}/home")
     assert rows(done.table, "id", "status") == rows(batch.table, "id", "status")
-    assert rows(done.refused, "seq") == rows(batch.refused.where("reject_reason LIKE 'Invalid%'"), "seq")
+    assert {r.reject_reason for r in done.refused.collect()} == {"status_unknown", "order_unknown"}
+    assert rows(done.refused, "seq") == rows(batch.refused, "seq")
 
 
 def test_replayed_micro_batch_overwrites_itself(spark, tmp_path):

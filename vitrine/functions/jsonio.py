@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _opens_array(text: Column) -> Column:
+    return text.rlike(r"^[ \t\r\n]*\[")
+
+
 def as_array_text(text: Column) -> Column:
-    """JSON text as a JSON array: arrays pass, anything else (null included) becomes the only element."""
-    return F.when(F.ltrim(text).startswith("["), text).otherwise(
-        F.concat(F.lit("["), F.coalesce(text, F.lit("null")), F.lit("]"))
-    )
+    """JSON text as a JSON array: arrays pass, one other value (null included) becomes the only element.
+
+    Text that holds several values, or none, is not JSON and gives null.
+    """
+    wrapped = F.concat(F.lit("["), F.coalesce(text, F.lit("null")), F.lit("]"))
+    return F.when(_opens_array(text), text).when(F.json_array_length(wrapped) == 1, wrapped)
 
 
 def decode_items(docs: DataFrame, order_id: str = "id", doc_no: str | None = None, doc_lines: int = 0) -> DataFrame:
@@ -25,18 +31,17 @@ def decode_items(docs: DataFrame, order_id: str = "id", doc_no: str | None = Non
         SELECT d.{order_id} AS order_id, {offset} + e.pos + 1 AS pos,
           try_variant_get(e.value, '$.product_id', 'bigint') AS product_id,
           try_variant_get(e.value, '$.id', 'bigint') AS id,
-          try_variant_get(e.value, '$.quantity', 'int') AS quantity,
-          try_variant_get(e.value, '$.qty', 'int') AS qty,
+          try_variant_get(e.value, '$.quantity', 'bigint') AS quantity,
+          try_variant_get(e.value, '$.qty', 'bigint') AS qty,
           try_variant_get(e.value, '$.selectedOption', 'string') AS selected_option,
           try_variant_get(e.value, '$.name', 'string') AS name,
           try_variant_get(e.value, '$.price', 'decimal(12,2)') AS price,
           try_variant_get(e.value, '$.stock', 'int') AS stock,
           try_variant_get(e.value, '$.primary_image', 'string') AS primary_image,
           to_json(e.value) AS raw
-        FROM {{docs}} d, LATERAL variant_explode(
-          try_parse_json(CASE WHEN ltrim(d.items) LIKE '[%' THEN d.items END)) e
+        FROM {{docs}} d, LATERAL variant_explode(try_parse_json(d.items)) e
         """,
-        docs=docs,
+        docs=docs.withColumn("items", F.when(_opens_array(F.col("items")), F.col("items"))),
     )
 
 
@@ -44,7 +49,7 @@ def decode_lines(lines: DataFrame, text: str = "item_json") -> DataFrame:
     """The same fields for lines already stored one per row as JSON objects; other columns are kept."""
     value = F.try_parse_json(F.col(text))
     fields = {
-        "product_id": "bigint", "id": "bigint", "quantity": "int", "qty": "int", "selectedOption": "string",
+        "product_id": "bigint", "id": "bigint", "quantity": "bigint", "qty": "bigint", "selectedOption": "string",
         "name": "string", "price": "decimal(12,2)", "stock": "int", "primary_image": "string",
     }
     parsed = lines.drop(text).columns

@@ -57,8 +57,8 @@ def _form(listing: Listing) -> Column:
 def banner_elements(banners: DataFrame, listing: Listing) -> DataFrame:
     """Decoded elements with their form, end date and `ref_ids`, the product or category ids they name.
 
-    `slot` is the element's place, 0 for a whole-map list. Ids that are no number (or no {id} object where those
-    count) stay as null entries, so that positions are kept.
+    `slot` is the element's place, 0 for a whole-map list. Ids are whole numbers, as numbers or as text; what is
+    neither (nor an {id} object where those count), such as `true` or 1.5, stays as a null entry, so that positions are kept.
     """
     decoded = decode_map(banners).withColumn("form", _form(listing))
     dated = (F.col("form") == "products") & (F.col("type") == "Timer") & F.lit(listing.end_date)
@@ -67,17 +67,18 @@ def banner_elements(banners: DataFrame, listing: Listing) -> DataFrame:
     def entries(path: str) -> Column:
         return F.try_variant_get("value", path, "array<variant>")
 
-    def number(entry: Column) -> Column:
-        return F.try_variant_get(entry, "$", "bigint")
+    def number(entry: Column, path: str = "$") -> Column:
+        text = F.try_variant_get(entry, path, "string")
+        return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text.try_cast("bigint"))
 
     def number_or_id(entry: Column) -> Column:
-        return F.coalesce(number(entry), F.when(with_objects, F.try_variant_get(entry, "$.id", "bigint")))
+        return F.coalesce(number(entry), F.when(with_objects, number(entry, "$.id")))
 
     form = F.col("form")
     ids = (
         F.when(form.isin("product", "category"), F.array(number(F.col("value"))))
         .when(form == "products", F.transform(entries("$.productIds"), number_or_id))
-        .when(form == "categories", F.transform(entries("$.categoryIds"), number))
+        .when(form == "categories", F.transform(entries("$.categoryIds"), lambda x: number(x)))
     )
     return decoded.withColumns({
         "end_date": F.when(dated, F.try_variant_get("value", "$.endDate", "string")),

@@ -118,12 +118,17 @@ def upsert_ratings(ratings: DataFrame, submissions: DataFrame) -> Changed:
     return merge_ratings(ratings, digest_submissions(submissions))
 
 
+def unknown_orders(changes: DataFrame, orders: DataFrame) -> DataFrame:
+    """Changes whose `order_id` has no order, as refused."""
+    unknown = changes.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_anti")
+    return unknown.withColumn("reject_reason", F.lit("order_unknown"))
+
+
 def update_status(orders: DataFrame, changes: DataFrame, users: DataFrame) -> Changed:
     """Orders after the status changes (seq, ts, order_id, status); `rows` are the changed orders with customer."""
     checked = validate_status(changes)
     last = latest(accepted(checked).select("order_id", "ts", "seq", "status"), ["order_id"], ["ts", "seq"])
     change = last.select(F.col("order_id").alias("id"), "status")
     done = apply_update(orders, change, ["status"])
-    unknown = accepted(checked).join(orders.select(F.col("id").alias("order_id")), "order_id", "left_anti")
-    refused = rejected(checked).unionByName(unknown.withColumn("reject_reason", F.lit("Order not found")))
+    refused = rejected(checked).unionByName(unknown_orders(accepted(checked), orders))
     return Changed(done.table, with_user(done.rows, users), refused)

@@ -107,9 +107,9 @@ def item_detail(lines: DataFrame, products: DataFrame, images: DataFrame) -> Dat
 
 
 def order_products(lines: DataFrame, orders: DataFrame, users: DataFrame, products: DataFrame) -> DataFrame:
-    """Per order the customer's name and each product of its lines once."""
+    """Per order the customer's name and each known product of its lines once; an order without any has one row of nulls."""
     heads = orders.select(F.col("id").alias("order_id"), "user_id").join(
         users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name")), "user_id", "left"
     )
     found = item_products(lines).join(products.withColumnRenamed("id", "product_id"), "product_id")
-    return found.join(heads, "order_id")
+    return heads.join(found, "order_id", "left")

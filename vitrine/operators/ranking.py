@@ -129,7 +129,7 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int | None = 1, limit
     """One page with page, limit, total and total_pages on its rows; page and size fall back to 1 and 10.
 
     Early pages are a top-k; pages beyond `TOP_ROWS` rows come from the distributed positions, so that the rows
-    before them never gather in one place.
+    before them never gather in one place. A page past the end is one row whose other columns are null.
     """
     # The remaining columns break ties, so that both ways below, and every run, agree on a page.
     order = [*order, *[F.col(c) for c, kind in df.dtypes if "map<" not in kind]]
@@ -137,7 +137,9 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int | None = 1, limit
     limit = limit if limit and limit > 0 else 10
     total = df.count()
     start = (page - 1) * limit
-    if start + limit <= TOP_ROWS:
+    if start >= total:  # one row of nulls still tells the totals
+        rows = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    elif start + limit <= TOP_ROWS:
         rows = df.orderBy(*order).offset(start).limit(limit)
     else:
         at = F.col("_at")

@@ -62,13 +62,13 @@ SELECT id, CAST(CASE WHEN coalesce(endprice, 0) <> 0 THEN endprice ELSE coalesce
   AS effective_price FROM product""")
 oracle("validate_status", """
 SELECT seq, order_id, status, CASE WHEN status NOT IN ('Created', 'Accepted', 'Preparing', 'Shipping', 'Delivered', 'Canceled')
-  THEN concat('Invalid status value: ', status, '. Valid statuses: Created, Accepted, Preparing, Shipping, Delivered, Canceled')
+  THEN 'status_unknown'
   END AS reject_reason FROM status_request""")
 oracle("validate_voucher", """
 SELECT id, code, type, CASE WHEN type IS NULL OR type NOT IN ('num', 'per') THEN 'type must be num or per' END AS create_reason,
   CASE WHEN type NOT IN ('num', 'per') THEN 'type must be num or per' END AS update_reason FROM voucher_request""")
 oracle("validate_items", """
-SELECT id, CASE WHEN id NOT IN (SELECT l_orderkey + 1 FROM lineitem) THEN 'No items provided' END AS reject_reason
+SELECT id, CASE WHEN id NOT IN (SELECT l_orderkey + 1 FROM lineitem) THEN 'items_missing' END AS reject_reason
 FROM shop_orders""")
 oracle("validate_image", """
 SELECT seq, product_id, link, CASE WHEN link IS NULL THEN 'link is required' END AS reject_reason FROM image_request""")
@@ -200,9 +200,11 @@ LEFT JOIN first_image i ON i.product_id = p.id LEFT JOIN rated r ON r.product_id
 oracle("orders_page", f"""
 SELECT o.* EXCLUDE (avatar), {paged(1, 10, 'shop_orders')} FROM owned_order o ORDER BY o.id DESC LIMIT 10""")
 oracle("order_products", f"""
-SELECT d.order_id, d.product_id, {PRODUCT.replace('p.id, ', '', 1)}, o.user_id, u.name AS user_name
-FROM (SELECT DISTINCT order_id, product_id FROM placed_line) d JOIN product p ON p.id = d.product_id
-JOIN shop_orders o ON o.id = d.order_id LEFT JOIN users u ON u.id = o.user_id""")
+SELECT o.id AS order_id, p.id AS product_id, {PRODUCT.replace('p.id, ', '', 1)}, o.user_id, u.name AS user_name
+FROM shop_orders o LEFT JOIN users u ON u.id = o.user_id
+LEFT JOIN (SELECT DISTINCT l.order_id, l.product_id FROM placed_line l JOIN product q ON q.id = l.product_id) d
+  ON d.order_id = o.id
+LEFT JOIN product p ON p.id = d.product_id""")
 oracle("order_details", f"""
 SELECT d.*, CASE WHEN o.status IS NULL OR o.status = '' THEN 'Created' ELSE o.status END AS status,
   CAST(coalesce(o.delivery_cost, 0) AS DOUBLE) AS delivery_cost
@@ -350,10 +352,10 @@ oracle("order_status_update", """
 SELECT o.id, l.status, o.user_name, 'updated' AS outcome, CAST(NULL AS BIGINT) AS seq
 FROM owned_order o JOIN last_status l ON l.order_id = o.id
 UNION ALL
-SELECT order_id, status, NULL, 'Order not found', seq FROM valid_status WHERE order_id NOT IN (SELECT id FROM shop_orders)
+SELECT order_id, status, NULL, 'order_unknown', seq FROM valid_status WHERE order_id NOT IN (SELECT id FROM shop_orders)
 UNION ALL
 SELECT order_id, status, NULL,
-  concat('Invalid status value: ', status, '. Valid statuses: Created, Accepted, Preparing, Shipping, Delivered, Canceled'), seq
+  'status_unknown', seq
 FROM status_request WHERE status NOT IN ('Created', 'Accepted', 'Preparing', 'Shipping', 'Delivered', 'Canceled')""")
 STEP = """(SELECT c.seq, c.image_id, c.priority, i.product_id,
   row_number() OVER (PARTITION BY i.product_id ORDER BY c.seq) AS step
@@ -400,5 +402,7 @@ oracle("stream_order_status", """
 SELECT o.id, coalesce(l.status, o.status) AS status, 'current' AS outcome, CAST(NULL AS BIGINT) AS seq
 FROM shop_orders o LEFT JOIN last_status l ON l.order_id = o.id
 UNION ALL
+SELECT order_id, status, 'refused', seq FROM valid_status WHERE order_id NOT IN (SELECT id FROM shop_orders)
+UNION ALL
 SELECT order_id, status, 'refused', seq FROM status_request
 WHERE status NOT IN ('Created', 'Accepted', 'Preparing', 'Shipping', 'Delivered', 'Canceled')""")

@@ -27,7 +27,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
 # The lines as the stored JSON text gives them.
 VIEWS["line"] = """
 SELECT order_id, CAST(n AS BIGINT) AS pos, CAST(j ->> '$.product_id' AS BIGINT) AS product_id,
-  CAST(j ->> '$.id' AS BIGINT) AS id, CAST(j ->> '$.quantity' AS INT) AS quantity, CAST(j ->> '$.qty' AS INT) AS qty,
+  CAST(j ->> '$.id' AS BIGINT) AS id, CAST(j ->> '$.quantity' AS BIGINT) AS quantity, CAST(j ->> '$.qty' AS BIGINT) AS qty,
   j ->> '$.selectedOption' AS selected_option, CAST(j AS VARCHAR) AS raw
 FROM (SELECT order_id, unnest(json_extract(items, '$[*]')) AS j,
         unnest(range(1, CAST(json_array_length(items) AS BIGINT) + 1)) AS n

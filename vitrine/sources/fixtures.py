@@ -36,11 +36,11 @@ SELECT p_partkey + 1 AS id, p_name AS name, CAST(substr(p_brand, 7) AS INT) AS c
                    CAST(p_partkey + 3 AS STRING), ',', CAST(p_partkey + 1000000 AS STRING), ']') END AS related
 FROM {part}""",
     "images": """
-SELECT l_partkey * 100000 + l_suppkey + 1 AS id, l_partkey + 1 AS product_id,
+SELECT l_partkey * 100000 + l_suppkey + 1 AS id,
+  CASE WHEN l_partkey % 11 = 0 THEN l_partkey + 2 ELSE l_partkey + 1 END AS product_id,
   concat('img://', CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING)) AS link,
   CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_suppkey % 4 END AS priority
-FROM (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) t
-WHERE l_partkey % 11 <> 0""",
+FROM (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) t""",
     "users": """
 SELECT c_custkey + 1 AS id, c_name AS name, lower(c_name) AS user_name,
   concat('555-', CAST(c_custkey AS STRING)) AS phone, concat(lower(c_name), '@example.org') AS email,
@@ -101,14 +101,15 @@ SELECT event_id AS seq, user_id * 13 + event_id % 17 AS product_id,
   CASE WHEN event_id % 19 = 0 THEN NULL ELSE concat('new://', CAST(event_id AS STRING)) END AS link
 FROM {events}""",
     "status_request": """
-SELECT event_id AS seq, ts, user_id * 100 + event_id % 100 + 1 AS order_id,
+SELECT event_id AS seq, ts, user_id * 100 + event_id % 100 + 1
+    + CASE WHEN event_id % 211 = 0 THEN 1000000000 ELSE 0 END AS order_id,
   CASE event_type WHEN 'signup' THEN 'Accepted' WHEN 'view' THEN 'Preparing' WHEN 'click' THEN 'Shipping'
     WHEN 'purchase' THEN 'Delivered' ELSE event_type END AS status
 FROM {events}""",
     "image_choice": """
 SELECT l_partkey * 100000 + l_suppkey + 1 + CASE WHEN l_suppkey % 9 = 0 THEN 50000 ELSE 0 END AS image_id,
   max(l_orderkey * 1000 + l_suppkey) AS seq, CAST(max(l_quantity) AS BIGINT) % 4 AS priority
-FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_partkey, l_suppkey""",
+FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
     "account": """
 SELECT s_suppkey + 1 AS id, s_name AS name, concat('u', CAST(s_suppkey * 5 AS STRING)) AS username,
   concat('e', CAST(s_suppkey * 7 AS STRING)) AS email FROM {supplier}""",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import (
-    Changed, apply_update, combine_digests, digest_submissions, merge_ratings,
+    Changed, apply_update, combine_digests, digest_submissions, merge_ratings, unknown_orders,
 )
 from ..operators.lookups import accepted, latest, rejected, validate_status
 from ..operators.orders import with_user
@@ -51,10 +51,12 @@ def ratings_now(ratings: DataFrame, submissions: DataFrame, folder: str) -> Chan
 
 
 def take_in_status(changes: DataFrame, folder: str) -> None:
-    """Split a stream of status changes (seq, ts, order_id, status) into the last valid ones and the invalid ones."""
+    """Split a stream of status changes (seq, ts, order_id, status) into valid ones, the last of them per order, and
+    invalid ones. All valid ones are kept, since whether their order exists shows only when the orders are read."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         checked = validate_status(batch)
+        accepted(checked).write.mode("overwrite").parquet(f"{folder}/asked/batch={batch_id}")
         last = latest(accepted(checked), ["order_id"], ["ts", "seq"])
         last.write.mode("overwrite").parquet(f"{folder}/valid/batch={batch_id}")
         rejected(checked).write.mode("overwrite").parquet(f"{folder}/refused/batch={batch_id}")
@@ -63,12 +65,14 @@ def take_in_status(changes: DataFrame, folder: str) -> None:
 
 
 def status_now(orders: DataFrame, users: DataFrame, changes: DataFrame, folder: str) -> Changed:
-    """Orders after all changes taken in; refused rows come with their reason."""
+    """Orders after all changes taken in; invalid changes and those of unknown orders are refused, with their reason."""
     spark, shape = orders.sparkSession, validate_status(_no_rows(changes))
     valid = latest(accepted(shape), ["order_id"], ["ts", "seq"])
     last = latest(_read(spark, f"{folder}/valid", valid), ["order_id"], ["ts", "seq"])
     done = apply_update(orders, last.select(F.col("order_id").alias("id"), "status"), ["status"])
-    return Changed(done.table, with_user(done.rows, users), _read(spark, f"{folder}/refused", rejected(shape)))
+    unknown = unknown_orders(_read(spark, f"{folder}/asked", accepted(shape)), orders)
+    refused = _read(spark, f"{folder}/refused", rejected(shape)).unionByName(unknown)
+    return Changed(done.table, with_user(done.rows, users), refused)
 
 
 def _no_rows(stream: DataFrame) -> DataFrame:
