@@ -119,3 +119,20 @@ def test_ample_stock_and_empty_batch(spark):
     admitted = admission.admit_orders(head, lines, products)
     assert {v[1] for v in verdicts_of(admitted).values()} <= {None, "no items"}
     assert admission.admit_orders(head.limit(0), lines.limit(0), products).orders.count() == 0
+
+
+def test_hot_products_keep_the_plan_flat(spark):
+    rows = [(r, p, 1, 1, 5, "open") for r in range(20) for p in (1, 2)]
+    state = spark.createDataFrame(rows, "rank bigint, product_id bigint, take bigint, need bigint, base bigint, state string")
+
+    def three_steps(window_rows):
+        groups, df = admission.Groups(20, 2, window_rows, 4), state
+        for _ in range(3):
+            df = admission._step(df, groups)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange "), plan.count("FileScan") + plan.count("Scan ExistingRDD"), sorted(df.collect())
+
+    exchanges, scans, settled = three_steps(None)
+    hot_exchanges, hot_scans, hot_settled = three_steps(1)
+    assert hot_settled == settled
+    assert hot_exchanges <= 2 * exchanges and hot_scans <= 2 * scans

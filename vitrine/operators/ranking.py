@@ -76,8 +76,9 @@ def sums_before(
         earlier = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(n) for n, c in sums.items()])
     # Sums of whole earlier blocks plus the earlier rows of the own block; no group is larger than a block.
-    # The explicit shuffle by key and block replaces any partitioning by the bare key that the rows come with.
-    blocked = df.withColumn("_block", F.floor(F.col(rank) / F.lit(block or BLOCK))).repartition(*keys, "_block")
+    # Written once, since totals and rows both read it: chained steps would else double their plan each time. The
+    # files also drop any partitioning by the bare key that the rows come with.
+    blocked = materialise(df.withColumn("_block", F.floor(F.col(rank) / F.lit(block or BLOCK))), "blocked")
     totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
@@ -109,6 +110,7 @@ def with_group(
     if largest <= (WINDOW_ROWS if window_rows is None else window_rows):
         group = Window.partitionBy(*keys)
         return df.select("*", *[value.over(group).alias(name) for name, value in values.items()])
+    df = materialise(df, "grouped")  # read for the aggregates and for the rows
     found = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
         *[value.alias(name) for name, value in values.items()]
     )
