@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, language, licenses, minhash, mixing, packing, permutations, quality, repeats, secrets
+from . import attribution, language, licenses, minhash, mixing, oracles, packing, permutations, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,7 +86,9 @@ def op8_license_rules(spark, folder):
     return licenses.scan_licenses(documents(spark, folder))
 
 
+ORACLES["op2_minhash_components"] = oracles.NEAR_DUPLICATES
 ORACLES["op6_line_frequency"] = quality.ORACLE_SQL
+ORACLES["op9_blob_ledger"] = oracles.SECRETS
 
 
 @query
