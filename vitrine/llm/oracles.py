@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .minhash import PERCENT, WORDS
+from .repeats import LENGTH
 from .secrets import BASE, RULES
 
 # Near-duplicates: all pairs of distinct shingle sets that share a shingle, then what can be reached over links.
@@ -83,3 +84,27 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (r)
 """
+
+_STEP = 1000  # windows cut from one piece of a text, so that no cut walks through a long text
+
+# Long repeats: the hash of every window of every text, counted; texts are written as hexadecimal digits.
+REPEATS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n
+           FROM documents),
+piece AS (SELECT r, n, c, substring(h, 2 * c + 1, {2 * (_STEP + LENGTH - 1)}) AS p
+          FROM (SELECT r, h, n, unnest(range(0, greatest(n - {LENGTH - 1}, 0), {_STEP})) AS c FROM d)),
+win AS (SELECT r, c + k AS pos, md5_number(substring(p, 2 * k + 1, {2 * LENGTH})) AS w
+        FROM (SELECT r, c, p, unnest(range(0, least({_STEP}, n - {LENGTH - 1} - c))) AS k FROM piece)),
+dup AS (SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY w) AS times FROM win) WHERE times > 1),
+mark AS (SELECT r, pos, pos > coalesce(lag(pos) OVER (PARTITION BY r ORDER BY pos), -{LENGTH + 1}) + {LENGTH} AS fresh FROM dup),
+run AS (SELECT r, pos, sum(fresh::INT) OVER (PARTITION BY r ORDER BY pos) AS k FROM mark),
+span AS (SELECT r, min(pos) AS s, max(pos) + {LENGTH} AS e FROM run GROUP BY r, k),
+gap AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM span),
+cut AS (SELECT gap.r, sum(e - s) AS removed, count(*) AS spans,
+               string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s)
+               || substring(any_value(h), 2 * max(e) + 1) AS kept
+        FROM gap JOIN d ON d.r = gap.r GROUP BY gap.r)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

@@ -87,6 +87,7 @@ def op8_license_rules(spark, folder):
 
 
 ORACLES["op2_minhash_components"] = oracles.NEAR_DUPLICATES
+ORACLES["op3_lyndon_suffixes"] = oracles.REPEATS
 ORACLES["op6_line_frequency"] = quality.ORACLE_SQL
 ORACLES["op9_blob_ledger"] = oracles.SECRETS
 
