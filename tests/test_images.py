@@ -87,7 +87,7 @@ def test_first_image_rules(spark):
     assert rows(catalog.strict_primary_image(df)) == [(3, "e")]
 
 
-def test_no_images_is_null_or_empty(spark, monkeypatch):
+def test_no_images_is_null_or_empty(spark):
     df = spark.createDataFrame(
         [(1, 1, "a", 2), (2, 1, "b", 1), (3, 1, "c", None)], "id bigint, product_id bigint, link string, priority bigint"
     )
@@ -95,6 +95,6 @@ def test_no_images_is_null_or_empty(spark, monkeypatch):
     nested = {r.id: r.images for r in catalog.images_nested(products, df).collect()}
     assert nested[2] is None and [tuple(i) for i in nested[1]] == [(2, "b", 1), (1, "a", 2), (3, "c", None)]
     assert rows(catalog.links_nested(products, df), "id", "links") == [(1, ["b", "a", "c"]), (2, [])]
-    monkeypatch.setattr(catalog, "NEST_ROWS", 2)
-    parts = catalog.links_nested(products, df)
-    assert rows(parts, "id", "part", "links") == [(1, 0, ["b", "a"]), (1, 1, ["c"]), (2, None, [])]
+    flat = catalog.images_counted(products, df)
+    assert rows(flat, "id", "n_images", "image_pos", "image_link") == [
+        (1, 3, 1, "b"), (1, 3, 2, "a"), (1, 3, 3, "c"), (2, 0, None, None)]

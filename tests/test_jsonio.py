@@ -25,12 +25,10 @@ def test_items_of_odd_texts(spark):
     assert rows(orders.item_products(lines)) == [(1, 7), (1, 8), (6, 4), (7, 9)]
 
 
-def test_long_orders_come_in_numbered_documents(spark):
-    docs = spark.createDataFrame(
-        [(1, 0, '[{"id":1},{"id":2}]'), (1, 1, '[{"id":3}]')], "id bigint, doc_no bigint, items string"
-    )
-    lines = jsonio.decode_items(docs, doc_no="doc_no", doc_lines=2)
-    assert rows(lines, "pos", "id") == [(1, 1), (2, 2), (3, 3)]
+def test_long_orders_are_one_document(spark):
+    text = "[" + ",".join(f'{{"id":{k}}}' for k in range(3000)) + "]"
+    lines = jsonio.decode_items(spark.createDataFrame([(1, text)], "id bigint, items string"))
+    assert sorted((r["pos"], r["id"]) for r in lines.collect()) == [(k + 1, k) for k in range(3000)]
 
 
 def test_kinds_of_map_elements(spark):

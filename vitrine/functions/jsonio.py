@@ -19,16 +19,14 @@ def as_array_text(text: Column) -> Column:
     return F.when(_opens_array(text), text).when(F.json_array_length(wrapped) == 1, wrapped)
 
 
-def decode_items(docs: DataFrame, order_id: str = "id", doc_no: str | None = None, doc_lines: int = 0) -> DataFrame:
+def decode_items(docs: DataFrame, order_id: str = "id") -> DataFrame:
     """One row per line of `docs.items`: order_id, pos (1-based), the raw ids and quantities, option, raw.
 
-    Text that is not valid JSON, or no array, has no lines. A very long order may come as several numbered
-    documents of `doc_lines` lines each; `pos` then counts through them.
+    Text that is not valid JSON, or no array, has no lines.
     """
-    offset = f"CAST({doc_no} AS BIGINT) * {doc_lines}" if doc_no else "0"
     return docs.sparkSession.sql(
         f"""
-        SELECT d.{order_id} AS order_id, {offset} + e.pos + 1 AS pos,
+        SELECT d.{order_id} AS order_id, CAST(e.pos AS BIGINT) + 1 AS pos,
           try_variant_get(e.value, '$.product_id', 'bigint') AS product_id,
           try_variant_get(e.value, '$.id', 'bigint') AS id,
           try_variant_get(e.value, '$.quantity', 'bigint') AS quantity,

@@ -12,7 +12,6 @@ from ..functions.values import by_priority, mean_rating
 from .lookups import catalog_filter, rows_for_keys
 from .ranking import ranked
 
-NEST_ROWS = 1000
 
 
 def primary_image(images: DataFrame) -> DataFrame:
@@ -92,16 +91,25 @@ def links_in_order(products: DataFrame, images: DataFrame) -> DataFrame:
     return products.select("id").join(placed, "id", "left").withColumnRenamed("id", "product_id")
 
 
+def images_counted(products: DataFrame, images: DataFrame) -> DataFrame:
+    """All images of every product in order, one per row, with their number; a product without images keeps one row."""
+    placed = images_in_order(images)
+    counted = images.groupBy("product_id").agg(F.count("*").alias("_n")).withColumnRenamed("product_id", "id")
+    return products.join(counted, "id", "left").join(placed.select(*image_columns()), "id", "left").select(
+        *products.columns, F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_images"),
+        "image_pos", "image_id", "image_link", "image_priority",
+    )
+
+
 def nest(rows: DataFrame, keys: Sequence[str], pos: str, fields: Sequence[str], name: str) -> DataFrame:
-    """Ordered array of the fields per group. Groups over `NEST_ROWS` rows continue in further numbered parts."""
-    part = F.floor((F.col(pos) - 1) / F.lit(NEST_ROWS)).cast("bigint").alias("part")
-    gathered = rows.groupBy(*keys, part).agg(F.array_sort(F.collect_list(F.struct(pos, *fields))).alias("_rows"))
+    """Ordered array of the fields, one row per group whatever its size: for groups that are known to be small."""
+    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, *fields))).alias("_rows"))
     shape = F.transform("_rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))
-    return gathered.select(*keys, "part", shape.alias(name))
+    return gathered.select(*keys, shape.alias(name))
 
 
 def images_nested(products: DataFrame, images: DataFrame) -> DataFrame:
-    """Products with their images array, null without images."""
+    """Products with their images array, null without images; `images_counted` has the same without arrays."""
     arrays = nest(images_in_order(images), ["product_id"], "pos", ["id", "link", "priority"], "images")
     return products.join(arrays.withColumnRenamed("product_id", "id"), "id", "left")
 
@@ -111,7 +119,7 @@ def links_nested(products: DataFrame, images: DataFrame) -> DataFrame:
     arrays = nest(images_in_order(images), ["product_id"], "pos", ["link"], "_links")
     links = F.coalesce(F.col("_links.link"), F.array().cast("array<string>")).alias("links")
     return products.join(arrays.withColumnRenamed("product_id", "id"), "id", "left").select(
-        *products.columns, "part", links
+        *products.columns, links
     )
 
 

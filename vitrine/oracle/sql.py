@@ -129,10 +129,10 @@ oracle("rating_summary", """
 SELECT product_id, round(avg(value), 1) AS avg_rating, count(DISTINCT user_id) AS rating_count
 FROM rating_submission GROUP BY product_id""")
 oracle("images_agg", """
-SELECT p.id, i.part, i.n_images, i.links FROM product p LEFT JOIN (
-  SELECT product_id, CAST((pos - 1) // 1000 AS BIGINT) AS part, CAST(count(*) AS INT) AS n_images,
-    string_agg(link, ',' ORDER BY pos) AS links
-  FROM placed_image GROUP BY product_id, (pos - 1) // 1000) i ON i.product_id = p.id""")
+SELECT p.id, coalesce(n.n, 0) AS n_images, i.pos AS image_pos, i.id AS image_id, i.link AS image_link,
+  i.priority AS image_priority
+FROM product p LEFT JOIN placed_image i ON i.product_id = p.id
+LEFT JOIN (SELECT product_id, count(*) AS n FROM images GROUP BY product_id) n ON n.product_id = p.id""")
 oracle("max_priority", "SELECT product_id, max(priority) AS max_priority FROM images GROUP BY product_id")
 oracle("distinct_item_products", "SELECT DISTINCT order_id, product_id FROM placed_line WHERE product_id IS NOT NULL")
 oracle("items_qty_last", """

@@ -76,7 +76,7 @@ def users_public(shop):
 
 @query
 def items_decode(shop):
-    lines = jsonio.decode_items(shop.order_docs, doc_no="doc_no", doc_lines=fixtures.DOC_LINES)
+    lines = jsonio.decode_items(shop.order_docs)
     return lines.select("order_id", "pos", "product_id", "id", "quantity", "qty", "selected_option", "raw")
 
 
@@ -298,10 +298,7 @@ def rating_summary(shop):
 
 @query
 def images_agg(shop):
-    nested = catalog.images_nested(shop.product.select("id"), shop.images)
-    return nested.select(
-        "id", "part", F.size("images").alias("n_images"), F.array_join("images.link", ",").alias("links")
-    )
+    return catalog.images_counted(shop.product.select("id"), shop.images)
 
 
 @query

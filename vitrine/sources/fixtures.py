@@ -14,7 +14,6 @@ from ..operators.ranking import ranked
 from . import tables
 
 AS_OF = "1998-01-01 00:00:00"
-DOC_LINES = 1000  # lines per stored items document; longer orders continue in further documents
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 COMMON = {
@@ -188,11 +187,10 @@ def _order_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def _order_docs(spark: SparkSession, folder: str) -> DataFrame:
     lines = _order_items(spark, folder)
-    doc_no = F.floor((F.col("pos") - 1) / F.lit(DOC_LINES)).cast("bigint").alias("doc_no")
     sorted_lines = F.array_sort(F.collect_list(F.struct("pos", "item_json")))
-    docs = lines.groupBy(F.col("order_id").alias("id"), doc_no).agg(sorted_lines.alias("lines"))
+    docs = lines.groupBy(F.col("order_id").alias("id")).agg(sorted_lines.alias("lines"))
     text = F.concat(F.lit("["), F.concat_ws(",", F.col("lines.item_json")), F.lit("]"))
-    return docs.select("id", "doc_no", text.alias("items"))
+    return docs.select("id", text.alias("items"))
 
 
 def _amend_items(spark: SparkSession, folder: str) -> DataFrame:
