@@ -4,10 +4,14 @@ The kernel is the blended spectrum of n-gram presence: the number of n-grams of
 (n-grams are hashed to `BUCKETS` places), over the geometric mean of their own numbers. Landmarks and training rows are
 a bounded sample of labelled documents; every text is scored whole, in batches, by two matrix products: presence times
 landmarks, and kernel values times coefficients.
+
+The score tells the learned languages apart, not whether a text is in one of them. For that a `Gate` holds the n-grams of
+each language's training words: a text is in a learned language if enough of the n-grams of its own words are known.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +27,9 @@ LANDMARKS = 128
 RIDGE = 0.01
 FOLDS = 5
 UNKNOWN = "und"
+KNOWN_IN = 128  # an n-gram is known in a language if one in so many of its training rows has it, one at least
+GATE_ROWS = 16  # a language with fewer training rows turns no text away that is predicted as it
+GATE_QUANTILE, GATE_SHARE = 0.01, 0.75  # the limit: so much of the share that this quantile of the training rows has
 _BATCH = 128
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint64)
 
@@ -38,11 +45,33 @@ def presence(text: str, row: np.ndarray) -> None:
         row[(((hashed + np.uint64(n)) * factor) >> np.uint64(7)) % np.uint64(BUCKETS)] = True
 
 
+_RUNS = re.compile(r"[^\W_]+")
+
+
+def words_only(text: str) -> str:
+    """The words of letters only, so that numbers, marks and secrets neither speak for a language nor against it; all runs
+    of letters and digits where there is no such word."""
+    found = _RUNS.findall(text)
+    return " ".join([w for w in found if w.isalpha()] or found)
+
+
+@dataclass
+class Gate:
+    known: np.ndarray  # packed presence bits of the n-grams known in each language
+    limits: np.ndarray  # least share of known n-grams; nan for a language with too few training rows
+
+    def passed(self, rows: np.ndarray, dense: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether texts (presence of the n-grams of their words) are in any language, or in one (`best`) without limit."""
+        share = (rows @ dense.T) / np.maximum(rows.sum(axis=1), 1)[:, None]
+        return (share >= self.limits).any(axis=1) | np.isnan(self.limits)[best]
+
+
 @dataclass
 class Model:
     languages: list[str]
     landmarks: np.ndarray  # packed presence bits
     coefficients: np.ndarray
+    gate: Gate | None = None
 
     def scores(self, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
         return kernel(rows, dense) @ self.coefficients
@@ -57,9 +86,25 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS != 0
 
 
-def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
+def _gate(packed: np.ndarray, number: np.ndarray, languages: int) -> Gate:
+    """The share of a training row's n-grams that its language's other rows make known sets the limit of the language."""
+    known, limits = [], np.full(languages, np.nan)
+    for k in range(languages):
+        rows = np.unpackbits(packed[number == k], axis=1)
+        counts, least = rows.sum(axis=0, dtype=np.int64), max(1, len(rows) // KNOWN_IN)
+        known.append(counts >= least)
+        if len(rows) >= GATE_ROWS:
+            share = rows @ (counts > least).astype(np.int64) / np.maximum(rows.sum(axis=1, dtype=np.int64), 1)
+            limits[k] = GATE_SHARE * np.quantile(share, GATE_QUANTILE)
+    return Gate(np.packbits(np.array(known), axis=1), limits)
+
+
+def fit(
+    docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int = LANDMARKS, gated: bool = False
+) -> Model:
     """Learns from `text` and `lang` of training documents. Only presence bits of the sample come to the driver: at most
-    `per_language` rows of 2 KB for each language. Without labelled texts the model knows no language."""
+    `per_language` rows of 2 KB for each language, twice that with a gate. Without labelled texts the model knows no
+    language."""
     labelled = docs.select("doc_id", "text", "lang").where(in_training(F.col("doc_id")) & F.col("lang").isNotNull())
     labelled = labelled.where("text is not null").withColumn("h", F.xxhash64("doc_id"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
@@ -68,8 +113,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int
         .groupBy("lang").agg(F.max("h").alias("cut"))
     )
 
-    @pandas_udf("binary")
-    def bits(texts: pd.Series) -> pd.Series:
+    def packed_bits(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
             row = np.zeros(BUCKETS, dtype=bool)
@@ -77,10 +121,19 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int
             out.append(np.packbits(row).tobytes())
         return pd.Series(out)
 
+    @pandas_udf("binary")
+    def bits(texts: pd.Series) -> pd.Series:
+        return packed_bits(texts)
+
+    @pandas_udf("binary")
+    def word_bits(texts: pd.Series) -> pd.Series:
+        return packed_bits(texts.map(words_only))
+
     # One row per language, of which the driver keeps many more rows below: small enough to go to every executor, so that
     # the texts of a frequent language need not meet in one task.
     sample = labelled.join(F.broadcast(cuts), "lang").where("h <= cut").dropDuplicates(["lang", "h"])
-    rows = sample.select("lang", "h", bits("text").alias("bits")).orderBy("lang", "h").collect()
+    columns = [bits("text").alias("bits"), *([word_bits("text").alias("words")] if gated else [])]
+    rows = sample.select("lang", "h", *columns).orderBy("lang", "h").collect()
     languages = sorted({r["lang"] for r in rows})
     if not rows:
         return Model([], np.zeros((0, BUCKETS // 8), np.uint8), np.zeros((0, 0), np.float32))
@@ -97,7 +150,8 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int
     wanted = np.where(number[:, None] == np.arange(len(languages)), 1.0, -1.0)
     gram = features.T @ features + RIDGE * len(rows) / 100 * np.eye(features.shape[1])
     solved = root @ np.linalg.solve(gram, features.T @ wanted)
-    return Model(languages, packed[chosen], solved.astype(np.float32))
+    gate = _gate(np.array([np.frombuffer(r["words"], np.uint8) for r in rows]), number, len(languages)) if gated else None
+    return Model(languages, packed[chosen], solved.astype(np.float32), gate)
 
 
 def predicted(model: Model, text: Column) -> Column:
@@ -123,6 +177,29 @@ def predicted(model: Model, text: Column) -> Column:
     return predict(text.cast("string"))
 
 
+def in_known_language(model: Model, text: Column) -> Column:
+    """Whether a text is in a language that the (gated) model has learned; without languages any text with letters is."""
+    @pandas_udf("boolean")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        dense = np.unpackbits(model.landmarks, axis=1).astype(np.float32)
+        known = np.unpackbits(model.gate.known, axis=1).astype(np.float32) if model.languages else None
+        for texts in batches:
+            kept = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+            lettered = np.flatnonzero(kept) if model.languages else []
+            for at in range(0, len(lettered), _BATCH):
+                own = lettered[at : at + _BATCH]
+                rows = np.zeros((len(own), BUCKETS), dtype=bool)
+                words = np.zeros_like(rows)
+                for row, word_row, k in zip(rows, words, own):
+                    presence(texts.iloc[k], row)
+                    presence(words_only(texts.iloc[k]), word_row)
+                best = model.scores(rows.astype(np.float32), dense).argmax(axis=1)
+                kept[own] = model.gate.passed(words.astype(np.float32), known, best)
+            yield pd.Series(kept)
+
+    return judge(text.cast("string"))
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of `docs` with a struct column `language` (`lang_pred`, `score`); the model is fitted on `docs` unless given.
 
