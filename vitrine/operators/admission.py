@@ -209,6 +209,16 @@ def stock_after(products: DataFrame, admission: Admission) -> DataFrame:
     return products.join(taken, "id", "left").withColumn("stock", left.cast("int")).select(*products.columns)
 
 
+def _numbered(requests: DataFrame, admission: Admission, orders: DataFrame, now) -> DataFrame:
+    """The accepted requests as order rows with new `id`s, besides `order_id` (of the request) and `rank`."""
+    won = admission.orders.where("accepted").select("order_id", "rank")
+    numbered = fresh_ids(
+        normalise_orders(requests, now).withColumnRenamed("id", "order_id").join(won, "order_id"),
+        orders, [F.col("rank").asc()],
+    )
+    return materialise(numbered, "placed")
+
+
 def place_orders(
     requests: DataFrame, lines: DataFrame, products: DataFrame, images: DataFrame, orders: DataFrame, now,
     window_rows: int | None = None, block: int | None = None,
@@ -219,15 +229,63 @@ def place_orders(
     """
     admission = admit_orders(requests, lines, products, window_rows, block)
     admission = admission._replace(orders=materialise(admission.orders, "verdicts"))
-    won = admission.orders.where("accepted").select("order_id", "rank")
-    numbered = fresh_ids(
-        normalise_orders(requests, now).withColumnRenamed("id", "order_id").join(won, "order_id"),
-        orders, [F.col("rank").asc()],
-    )
-    placed = materialise(numbered, "placed")
+    placed = _numbered(requests, admission, orders, now)
     left = _sums_by_product(admission.claims, {"earlier": F.col("take")}, admission.groups).select("rank", "product_id", (F.col("earlier") + F.col("take")).alias("used"))
     ids = placed.select("order_id", "id", "rank")
     detail = item_detail(normalise_items(lines).join(ids.select("order_id"), "order_id", "left_semi"), products, images)
     detail = detail.join(ids, "order_id").join(left, ["rank", "product_id"], "left")
     detail = detail.withColumn("remaining_stock", F.col("remaining_stock") - F.coalesce("used", F.lit(0)))
     return placed.drop("order_id", "rank"), detail.drop("order_id", "rank", "used", "known"), admission
+
+
+class After(NamedTuple):
+    """The tables after a batch."""
+
+    orders: DataFrame
+    lines: DataFrame  # decoded lines by order_id and pos
+    products: DataFrame
+    refused: DataFrame  # order_id (of the batch), reason, product_id, available
+
+
+def _after(orders: DataFrame, lines: DataFrame, products: DataFrame, admission: Admission) -> After:
+    refused = admission.orders.where("NOT accepted").select("order_id", "reason", "product_id", "available")
+    return After(orders, lines, stock_after(products, admission), refused)
+
+
+def place_after(
+    requests: DataFrame, lines: DataFrame, products: DataFrame, orders: DataFrame, old_lines: DataFrame, now,
+    window_rows: int | None = None, block: int | None = None,
+) -> After:
+    """The tables after `requests` are placed: accepted ones follow the orders under new ids, with their lines as sent."""
+    admission = admit_orders(requests, lines, products, window_rows, block)
+    admission = admission._replace(orders=materialise(admission.orders, "verdicts"))
+    placed = _numbered(requests, admission, orders, now)
+    sent = lines.join(placed.select("order_id", F.col("id").alias("_id")), "order_id").drop("order_id")
+    return _after(
+        orders.unionByName(placed.drop("order_id", "rank"), allowMissingColumns=True),
+        old_lines.unionByName(sent.withColumnRenamed("_id", "order_id")), products, admission,
+    )
+
+
+AMENDED = ["user_id", "status", "active", "delivery_cost", "voucher_id"]  # replaced as sent, nulls too
+
+
+def amend_after(
+    amendments: DataFrame, new_lines: DataFrame, old_lines: DataFrame, products: DataFrame, orders: DataFrame,
+    window_rows: int | None = None, block: int | None = None,
+) -> After:
+    """The tables after `amendments`: accepted ones replace `AMENDED` and all lines of their order, if it is there."""
+    admission = amend_orders(amendments, new_lines, old_lines, products, window_rows, block)
+    admission = admission._replace(orders=materialise(admission.orders, "verdicts"))
+    won = admission.orders.where("accepted").select("order_id")
+    sent = amendments.withColumnRenamed("id", "order_id").join(won, "order_id").select(
+        F.col("order_id").alias("id"), F.struct(*[c for c in AMENDED if c in amendments.columns]).alias("_sent")
+    )
+    joined = orders.join(sent, "id", "left")
+    replaced = {
+        c: F.when(F.col("_sent").isNotNull(), F.col(f"_sent.{c}")).otherwise(F.col(c) if c in orders.columns else None)
+        for c in AMENDED if c in amendments.columns
+    }
+    changed = won.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    now = old_lines.join(changed, "order_id", "left_anti").unionByName(new_lines.join(changed, "order_id", "left_semi"))
+    return _after(joined.withColumns(replaced).drop("_sent"), now, products, admission)

@@ -388,6 +388,8 @@ FROM ({ADDED.format(where="WHERE link IS NOT NULL")}) a""")
 oracle("order_admission", stock.ADMISSION, stock.PLACED, recursive=True)
 oracle("order_place", stock.PLACE, stock.PLACED, recursive=True)
 oracle("order_amend", stock.AMEND, stock.AMENDED, recursive=True)
+oracle("order_place_after", stock.PLACE_AFTER, stock.PLACED_STATE, recursive=True)
+oracle("order_amend_after", stock.AMEND_AFTER, stock.AMENDED_STATE, recursive=True)
 
 # Streams: the end state
 oracle("stream_rating_upsert", """

@@ -76,3 +76,61 @@ AMEND = """
 SELECT s.order_id, s.n - 1 AS rank, NOT w.fail AS accepted, CASE WHEN w.fail THEN 'stock' END AS reason,
   w.p AS product_id, w.available
 FROM walk w JOIN served s ON s.n = w.n"""
+
+
+# The tables after a batch: orders, lines, stock and refusals as rows of one shape.
+_COLUMNS = {
+    "part": "VARCHAR", "id": "BIGINT", "user_id": "BIGINT", "status": "VARCHAR", "created_at": "VARCHAR",
+    "active": "BOOLEAN", "delivery_cost": "DOUBLE", "voucher_code": "VARCHAR", "voucher_id": "BIGINT", "pos": "BIGINT",
+    "product_id": "BIGINT", "line_id": "BIGINT", "quantity": "BIGINT", "qty": "BIGINT", "selected_option": "VARCHAR",
+    "stock": "INTEGER", "reason": "VARCHAR", "available": "BIGINT",
+}
+
+
+def _part(source: str, **given: str) -> str:
+    shown = [f"CAST({given.get(c, 'NULL')} AS {kind}) AS {c}" for c, kind in _COLUMNS.items()]
+    return f"SELECT {', '.join(shown)}\n{source}"
+
+
+_TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+_ORDER = {c: f"o.{c}" for c in ("id", "user_id", "status", "active", "delivery_cost", "voucher_code")}
+_ORDER |= {"part": "'order'", "created_at": _TIME.format("o.created_at")}
+_LINE = {c: f"l.{c}" for c in ("pos", "product_id", "quantity", "qty", "selected_option")}
+_LINE |= {"part": "'line'", "id": "l.order_id", "line_id": "l.id"}
+_REST = [
+    _part("FROM (SELECT arg_max(stock, n) AS stock FROM verdict) v, product p",
+          part="'product'", id="p.id", stock="v.stock[p.id]"),
+    _part("FROM verdict v WHERE NOT v.accepted", part="'refused'", id="v.order_id",
+          **{c: f"v.{c}" for c in ("reason", "product_id", "available")}),
+]
+
+PLACED_STATE = PLACED + f""",
+verdict AS MATERIALIZED (
+  SELECT a.*, w.n, w.stock, sum(CASE WHEN a.accepted THEN 1 ELSE 0 END) OVER (ORDER BY w.n) AS k
+  FROM ({ADMISSION}) a JOIN walk w ON w.n = a.rank + 1)"""
+PLACE_AFTER = "\nUNION ALL\n".join([
+    _part("FROM shop_orders o", **_ORDER),
+    _part("FROM order_request r JOIN verdict v ON v.order_id = r.id WHERE v.accepted",
+          part="'order'", id="(SELECT max(id) FROM shop_orders) + v.k", user_id="r.user_id",
+          status="CASE WHEN r.status IS NULL OR r.status = '' THEN 'Created' ELSE r.status END",
+          created_at=_TIME.format("coalesce(r.created_at, TIMESTAMP '1998-01-01 00:00:00')"),
+          active="coalesce(r.active, true)", delivery_cost="coalesce(r.delivery_cost, 0)",
+          voucher_id="CASE WHEN r.voucher_id <> 0 THEN r.voucher_id END"),
+    _part("FROM line l", **_LINE),
+    _part("FROM line l JOIN verdict v ON v.order_id = l.order_id WHERE v.accepted",
+          **_LINE | {"id": "(SELECT max(id) FROM shop_orders) + v.k"}),
+    *_REST,
+])
+
+AMENDED_STATE = AMENDED + f""",
+verdict AS MATERIALIZED (
+  SELECT a.*, w.n, w.stock FROM ({AMEND}) a JOIN walk w ON w.n = a.rank + 1)"""
+AMEND_AFTER = "\nUNION ALL\n".join([
+    _part("FROM shop_orders o JOIN verdict v ON v.order_id = o.id WHERE NOT v.accepted", **_ORDER),
+    _part("FROM shop_orders o JOIN verdict v ON v.order_id = o.id JOIN order_request r ON r.id = o.id WHERE v.accepted",
+          **_ORDER | {c: f"r.{c}" for c in ("user_id", "status", "active", "delivery_cost", "voucher_id")}),
+    _part("FROM line l JOIN verdict v ON v.order_id = l.order_id WHERE NOT v.accepted", **_LINE),
+    _part("FROM amended l JOIN verdict v ON v.order_id = l.order_id WHERE v.accepted",
+          part="'line'", id="l.order_id", pos="l.pos", product_id="l.product_id", qty="l.qty"),
+    *_REST,
+])

@@ -556,6 +556,36 @@ def order_amend(shop):
     return admission.amend_orders(shop.order_request, amended, shop.lines, shop.product).orders
 
 
+def _tables_after(after: admission.After) -> DataFrame:
+    """Orders, lines, stock and refusals after a batch as flat rows, told apart by `part`."""
+    lines = after.lines.select(
+        F.lit("line").alias("part"), F.col("order_id").alias("id"), "pos", "product_id", F.col("id").alias("line_id"),
+        "quantity", "qty", "selected_option",
+    )
+    parts = [
+        after.orders.select(F.lit("order").alias("part"), *after.orders.columns), lines,
+        after.products.select(F.lit("product").alias("part"), "id", "stock"),
+        after.refused.select(F.lit("refused").alias("part"), F.col("order_id").alias("id"), "reason", "product_id", "available"),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
+@query
+def order_place_after(shop):
+    return _tables_after(admission.place_after(
+        shop.order_request, shop.lines, shop.product, shop.shop_orders, shop.lines, as_of()
+    ))
+
+
+@query
+def order_amend_after(shop):
+    amended = jsonio.decode_lines(shop.amend_items.select("order_id", "pos", "item_json"))
+    return _tables_after(admission.amend_after(shop.order_request, amended, shop.lines, shop.product, shop.shop_orders))
+
+
 # Streams
 
 
