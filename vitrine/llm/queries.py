@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, language, licenses, minhash, mixing, oracles, packing, permutations, quality, repeats, secrets
+from . import (
+    attribution, language, lexical, licenses, minhash, mixing, oracles, packing, permutations, quality, repeats, secrets,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +98,11 @@ ORACLES["op9_blob_ledger"] = oracles.SECRETS
 def op3_lyndon_suffixes(spark, folder):
     found = repeats.remove_repeats(documents(spark, folder))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_norm_buckets(spark, folder):
+    return lexical.search(spark.read.parquet(f"{folder}/benchmark.parquet"), documents(spark, folder))
+
+
+ORACLES["op13_norm_buckets"] = lexical.ORACLE_SQL
