@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    attribution, language, lexical, licenses, minhash, mixing, oracles, packing, permutations, quality, repeats, secrets,
+    attribution, language, lexical, licenses, minhash, mixing, oracles, packing, permutations, quality, repair, repeats,
+    secrets,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,11 @@ def op13_norm_buckets(spark, folder):
 
 
 ORACLES["op13_norm_buckets"] = lexical.ORACLE_SQL
+
+
+@query
+def op11_grammar_repair(spark, folder):
+    return repair.damage_and_repair(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+ORACLES["op11_grammar_repair"] = repair.ORACLE_SQL
