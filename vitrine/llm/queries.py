@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    attribution, language, lexical, licenses, minhash, mixing, oracles, packing, permutations, quality, repair, repeats,
-    secrets,
+    attribution, language, lexical, licenses, maxent, minhash, mixing, oracles, packing, permutations, quality, repair,
+    repeats, secrets,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op11_grammar_repair(spark, folder):
 
 
 ORACLES["op11_grammar_repair"] = repair.ORACLE_SQL
+
+
+@query
+def op12_hashed_maxent(spark, folder):
+    return maxent.learn_and_score(documents(spark, folder))
