@@ -3,7 +3,7 @@
 A token is a word or the end of its text. P(token | history) = P(class | history) * P(token | class, history):
 
 - the `HEAD` most frequent words are spread over `HEAD_CLASSES` classes of `PLACES` words, and inside a class a softmax with
-  the same features chooses the word;
+  the word before as its feature chooses the word;
 - all other words, known or not, are in one of `TAIL_CLASSES` classes by their last letters; inside, only the count speaks:
   (c - d) / n for a known word and d * v / n for the one unknown word of the class (n tokens and v words in training, d the
   share of words seen once), which sums to one.
@@ -16,8 +16,8 @@ Learning reads every training text once, in `ROUNDS` slices. In a round each tas
 its texts from the common weights and sends the changes of all rows with the number of tokens behind them; rows are averaged
 by these numbers, task by task in a stream, and only the averaged weights (a few MB, whatever the input) come to the driver.
 
-Counts of words come from all training texts. The `DICTIONARY` most frequent words and their counts go to the tasks; the
-other words of a text are joined to the counts by word.
+Counts of words come from all training texts. The most frequent words, `DICTIONARY` at most, and their counts go to the
+tasks; the other words of a text are joined to the counts by word.
 
 Defined cases: a null text is empty (its only token is the end); rows that share an id are texts of their own; a null id
 is neither learned from nor held out; without training texts every token is unknown; an empty table gives no rows; other
@@ -43,7 +43,7 @@ from ..storage import materialise
 
 HEAD_CLASSES, PLACES, TAIL_CLASSES = 24, 40, 16
 CLASSES, HEAD = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES * PLACES
-DICTIONARY = 200_000
+DICTIONARY = 150_000
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 ROUNDS = 3
 STEP = 16_384  # tokens of one gradient step
@@ -139,15 +139,23 @@ class Model:
 def untrained(counts: DataFrame, dictionary: int = DICTIONARY) -> Model:
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
-    top = counts.orderBy(F.desc("c"), "word").limit(dictionary).collect()
-    words = {r["word"].encode(): k for k, r in enumerate(top)}
-    c, tails = (np.array([r[name] for r in top], dtype=np.int64) for name in ("c", "tail"))
+    # Words by eighths of powers of two of their counts: the dictionary has the upper steps that it holds as a whole.
+    step = F.floor(F.log2("c") * 8)
+    held, least = 0, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # some hundred rows at most
+        held += r["count"]
+        if held > dictionary:
+            break
+        least = r["step"]
+    top = counts.where(F.lit(False) if least is None else step >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    words = {w.encode(): k for k, w in enumerate(top["word"].to_pylist())}
+    c, tails = (top[name].to_numpy().astype(np.int64) for name in ("c", "tail"))
     hashes = np.array([k if k < HEAD else HEAD + zlib.crc32(w) % (_BEGIN - HEAD) for w, k in words.items()], dtype=np.int64)
     n, v, once = (np.zeros(TAIL_CLASSES) for _ in range(3))
     sums = [F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("o")]
     for r in counts.groupBy("tail").agg(*sums).collect():  # one row a class
         n[r["tail"]], v[r["tail"]], once[r["tail"]] = r["n"], r["v"], r["o"]
-    for k in range(min(HEAD, len(top))):
+    for k in range(min(HEAD, len(words))):
         n[tails[k]] -= c[k]
         v[tails[k]] -= 1
         once[tails[k]] -= c[k] == 1
@@ -216,8 +224,8 @@ def histories(model: Model, codes: np.ndarray, inside: np.ndarray) -> Histories:
 
 
 def word_features(seen: Histories) -> list[np.ndarray]:
-    """Inside a class the word before and the skip speak."""
-    return [((f * 37 + seen.cls * 2_654_435) * 40_503 >> 7) % WORD_ROWS for f in seen.features[:2]]
+    """Inside a class only the word before speaks."""
+    return [((seen.features[0] * 37 + seen.cls * 2_654_435) * 40_503 >> 7) % WORD_ROWS]
 
 
 def _powers(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
