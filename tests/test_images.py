@@ -38,20 +38,41 @@ def test_primary_choices_one_after_another(spark, window_rows):
     assert rows(images.unknown_images(df, picked)) == sorted({(c,) for _, c, _ in picks if c > 25})
 
 
-@pytest.mark.parametrize("steps", [1000, 4])
-def test_secondary_choices_one_after_another(spark, monkeypatch, steps):
-    monkeypatch.setattr(images, "FOLD_STEPS", steps)
-    data, df = table(spark)
-    picks, picked = choices(spark, 3)
-    state = {i: [p, v] for i, p, _, v in data}
-    for _, chosen, to in picks:
-        if chosen in state:
-            for i, (p, v) in state.items():
-                if p == state[chosen][0] and i != chosen and v is not None and v >= to:
+def replayed(data, picks):
+    """Moves to a place, one after another; a null value moves no other image."""
+    state, products = {i: [p, v] for i, p, _, v in data}, {}
+    for i, p, _, _ in data:
+        products.setdefault(p, []).append(i)
+    for _, chosen, to in sorted(picks, key=lambda c: (c[0], c[1], c[2] is not None, c[2] or 0)):
+        if chosen in state and state[chosen][0] is not None:
+            for i in products[state[chosen][0]]:
+                v = state[i][1]
+                if i != chosen and v is not None and to is not None and v >= to:
                     state[i][1] = v + 1
             state[chosen][1] = to
-    got = images.set_secondary(df, picked)
-    assert rows(got, "id", "priority") == [(i, v[1]) for i, v in sorted(state.items())]
+    return [(i, v[1]) for i, v in sorted(state.items())]
+
+
+@pytest.mark.parametrize("seed,window_rows", [(3, None), (5, 3)])
+def test_secondary_choices_one_after_another(spark, monkeypatch, seed, window_rows):
+    monkeypatch.setattr(images, "LEVELS_PER_TABLE", 2)
+    data, df = table(spark, seed)
+    picks, picked = choices(spark, seed)
+    rng = random.Random(seed)
+    picks += [(rng.randint(0, 40), rng.randint(1, 27), rng.choice([None, -1, 0, 5, 9])) for _ in range(30)]  # ties in seq
+    data.append((26, None, "x", 1))
+    df = spark.createDataFrame(data, df.schema)
+    picked = spark.createDataFrame(picks, picked.schema)
+    assert rows(images.set_secondary(df, picked, window_rows), "id", "priority") == replayed(data, picks)
+
+
+def test_many_moves_of_one_product(spark):
+    rng = random.Random(9)
+    data = [(k, 1, "l", rng.randint(0, 50)) for k in range(1, 300)] + [(400, 2, "m", 1), (401, 3, "n", None)]
+    picks = [(s, rng.choice([1, 2, rng.randint(1, 299), 400]), rng.randint(0, 60)) for s in range(4000)]
+    df = spark.createDataFrame(data, "id bigint, product_id bigint, link string, priority bigint")
+    picked = spark.createDataFrame(picks, "seq bigint, image_id bigint, priority bigint")
+    assert rows(images.set_secondary(df, picked), "id", "priority") == replayed(data, picks)
 
 
 def test_no_choices_change_nothing(spark):

@@ -358,7 +358,7 @@ SELECT order_id, status, NULL,
   'status_unknown', seq
 FROM status_request WHERE status NOT IN ('Created', 'Accepted', 'Preparing', 'Shipping', 'Delivered', 'Canceled')""")
 STEP = """(SELECT c.seq, c.image_id, c.priority, i.product_id,
-  row_number() OVER (PARTITION BY i.product_id ORDER BY c.seq) AS step
+  row_number() OVER (PARTITION BY i.product_id ORDER BY c.seq, c.image_id, c.priority) AS step
 FROM image_choice c JOIN images i ON i.id = c.image_id)"""
 oracle("set_primary_image", f"""
 SELECT i.id, i.product_id, i.link, CAST(CASE WHEN o.own IS NOT NULL THEN 1 + t.steps - o.own
@@ -377,7 +377,8 @@ FROM images i LEFT JOIN (
   GROUP BY product_id) t ON t.product_id = i.product_id""")
 oracle("update_image_priority", """
 SELECT i.id, i.product_id, i.link, CASE WHEN c.image_id IS NULL THEN i.priority ELSE c.priority END AS priority
-FROM images i LEFT JOIN image_choice c ON c.image_id = i.id""")
+FROM images i LEFT JOIN (SELECT image_id, arg_max(priority, (seq, priority)) AS priority FROM image_choice GROUP BY image_id) c
+  ON c.image_id = i.id""")
 oracle("add_product_images", f"""
 SELECT id, product_id, link, priority FROM images
 UNION ALL

@@ -107,8 +107,8 @@ SELECT event_id AS seq, ts, user_id * 100 + event_id % 100 + 1
 FROM {events}""",
     "image_choice": """
 SELECT l_partkey * 100000 + l_suppkey + 1 + CASE WHEN l_suppkey % 9 = 0 THEN 50000 ELSE 0 END AS image_id,
-  max(l_orderkey * 1000 + l_suppkey) AS seq, CAST(max(l_quantity) AS BIGINT) % 4 AS priority
-FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
+  l_orderkey * 10 + l_linenumber AS seq, CAST(l_quantity AS BIGINT) % 4 AS priority
+FROM {lineitem}""",
     "account": """
 SELECT s_suppkey + 1 AS id, s_name AS name, concat('u', CAST(s_suppkey * 5 AS STRING)) AS username,
   concat('e', CAST(s_suppkey * 7 AS STRING)) AS email FROM {supplier}""",
