@@ -204,6 +204,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of `docs` with a struct column `language` (`lang_pred`, `score`); the model is fitted on `docs` unless given.
 
     Only `text` is read for a prediction. Null texts, texts without letters, and any text where nothing could be learned
-    are `und` with score 0; other columns pass unchanged; repeated rows stay; no rows give no rows.
+    are `und` with score 0; other columns pass unchanged (select what is needed where one is called `language`); repeated
+    rows stay; no rows give no rows.
     """
     return docs.select("*", predicted(model or fit(docs), F.col("text")).alias("language"))

@@ -219,7 +219,7 @@ def _block_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, by_text: bool = False
 ) -> DataFrame:
     """One row per document: `doc_id`, `n_shingles`, `component_id` and `kept`.
 
@@ -228,6 +228,10 @@ def near_duplicates(
     of the component, `kept` marks that document. Null or blank texts have no shingles and are alone. Null ids: a
     component of null ids only has a null id and is kept. Repeated rows are each listed, with the same result. Other
     columns are not read; no rows give no rows.
+
+    With `by_text` two columns follow: `text_id` (MD5 of the text, null for a null text) and `first`, which is true for the
+    rows of one text and id of each component (the smallest id, nulls last, then the smallest `text_id`), so that rows with
+    null or repeated ids are told apart; every row without shingles is a first.
     """
     sketch = materialise(_sketch(docs, words, bands, rows), "sketch")
     members = (
@@ -249,15 +253,19 @@ def near_duplicates(
     more = materialise(_block_links(labelled, sets, percent), "links")
     labels = components(labels.selectExpr("node a", "label b").unionAll(more))
 
-    listed = sketch.select("doc_id", "n_shingles", "class")
+    listed = sketch.select("doc_id", "n_shingles", "class", *(["text_id"] if by_text else []))
+    lead = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id") if by_text else F.col("doc_id")
     least = (
         listed.join(labels, listed["class"] == labels["node"])
-        .groupBy("label").agg(F.min("doc_id").alias("linked_id"))
+        .groupBy("label").agg(F.min(lead).alias("linked_id"))
     )
     linked = labels.join(least, "label").select(F.col("node").alias("class"), "linked_id")
-    own = listed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("own_id"))
+    own = listed.where("n_shingles > 0").groupBy("class").agg(F.min(lead).alias("own_id"))
     known = own.join(linked, "class", "left").select("class", F.coalesce("linked_id", "own_id").alias("least_id"))
-    component = F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
+    least_id = F.col("least_id.doc_id") if by_text else F.col("least_id")
+    component = F.when(F.col("n_shingles") > 0, least_id).otherwise(F.col("doc_id"))
+    first = F.when(F.col("n_shingles") > 0, F.col("least_id") == lead).otherwise(True)
     return listed.join(known, "class", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        *(["text_id", first.alias("first")] if by_text else []),
     )

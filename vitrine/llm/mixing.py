@@ -133,20 +133,23 @@ def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
-    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7,
+    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7, by_text: bool = False, carry: bool = False,
 ) -> DataFrame:
     """One row per document: `doc_id`, `source`, `text`, `size`, `source_size`, `target`, `taken` and `copies`, an array
     of (pass, shard, key, words): where each copy goes, its place in the shard by `key`, and how many words it gives.
 
     `size` counts words between ASCII blanks. Sources stand by code point, null last, and weigh `weights` in turn; they
     share `share` times all words, none more than `most` times its own. Copies of a document are whole, but for the
-    documents at a source's cut. Rows with one `doc_id` share a place in the order; null texts have no words; repeated
+    documents at a source's cut. Rows with one `doc_id` share a place in the order, with `by_text` only if their texts are
+    equal, too; with `carry` a column `row` follows, a struct of all columns of `docs`; null texts have no words; repeated
     rows each count; a source without words has target 0; no rows give no rows. Nothing is random: reruns agree.
     """
-    order = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 64 - _BITS)
+    named = ["doc_id", "text"] if by_text else ["doc_id"]
+    order = F.shiftrightunsigned(F.xxhash64(*named, F.lit(seed)), 64 - _BITS)
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     counted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.col("text").cast("string").alias("text"),
+        F.col("text").cast("string").alias("text"), *row,
     ).withColumn("words", n_words(F.col("text"))).withColumn("order", order)
     base = materialise(counted.select("doc_id", "source", "words", "order"), "words")
     sources = materialise(
@@ -188,10 +191,10 @@ def mix(
     joined = placed.join(owners, ["place", "block"], "left")
     passes = F.filter(F.expr("sequence(0L, passes)"), lambda p: (p < F.col("passes")) | (F.col("part") > 0))
     copies = F.transform(passes, lambda p: F.struct(
-        p.alias("pass"), F.element_at("owner", p).alias("shard"), F.xxhash64("doc_id", p, F.lit(seed + 1)).alias("key"),
+        p.alias("pass"), F.element_at("owner", p).alias("shard"), F.xxhash64(*named, p, F.lit(seed + 1)).alias("key"),
         F.when(p < F.col("passes"), F.col("words")).otherwise(F.col("part")).alias("words"),
     ))
     return joined.select(
         "doc_id", "source", "text", F.col("words").alias("size"), "source_size", "target",
-        (F.col("passes") * F.col("words") + F.col("part")).alias("taken"), copies.alias("copies"),
+        (F.col("passes") * F.col("words") + F.col("part")).alias("taken"), copies.alias("copies"), *(["row"] if carry else []),
     )

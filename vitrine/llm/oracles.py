@@ -38,12 +38,14 @@ def _either(word: str) -> str:
 
 _NAMES = "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 
+_LABEL = "(?:[A-Z0-9]{1,20} ){0,6}PRIVATE KEY-----"
+
 # One pattern per kind of `secrets.RULES`, in the syntax that DuckDB reads: group 1 is what stands before the match.
 _PATTERNS = {
     "assign": rf"""()(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": "()(AKIA[A-Z0-9]+)",
     "hex": "()([0-9a-f]+)",
-    "private_key": "()(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)",
+    "private_key": rf"()(-----BEGIN {_LABEL}(?:[^-]*-----END {_LABEL}|(?:[\x20\x09-\x0D]{{1,4}}[A-Za-z0-9+/=]{{20,}}){{0,40}}))",
     "bearer": rf"()({_either('bearer')}\x20+[A-Za-z0-9._~+/-]{{20,}}=*)",
     "web_token": r"()(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
     "url_login": r"()([a-z][a-z0-9+.-]{1,20}://[^\x09-\x0D\x20:/@]{1,64}:[^\x09-\x0D\x20:/@]{3,64}@)",

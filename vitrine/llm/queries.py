@@ -69,7 +69,7 @@ def op4_permutation_index(spark, folder):
 
 @query
 def op5_string_kernel(spark, folder):
-    docs = documents(spark, folder)
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
     held_out = F.coalesce(~language.in_training(F.col("doc_id")), F.lit(False))
     return language.identify(docs).select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 

@@ -36,8 +36,11 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16}", least=20),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", "[0-9a-f]{24}", least=24),
 )
+_LABEL = "(?:[A-Z0-9]{1,20} ){0,6}PRIVATE KEY-----"
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "PRIVATE KEY-----"),
+    # The whole block up to its END line; without one, the lines of base64 behind BEGIN.
+    Rule("private_key", rf"-----BEGIN {_LABEL}(?:[^-]*+-----END {_LABEL}|(?:[\x20\x09-\x0D]{{1,4}}[A-Za-z0-9+/=]{{20,}}+){{0,40}})",
+         "PRIVATE KEY-----", version=2),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}+=*", "(?i:bearer)\\x20"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@", "://"),
@@ -133,11 +136,13 @@ def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     )
 
 
-def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of `docs` with `secret_spans`: array of (start, place, end, kind), in code points, end exclusive.
+def find_secrets(
+    docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, name: str = "secret_spans"
+) -> DataFrame:
+    """The rows of `docs` with a column `name`: array of (start, place, end, kind), in code points, end exclusive.
 
     `ledger` is a shared folder that later runs go on with (default: a new one). Null texts count as empty; other
-    columns pass unchanged; repeated rows stay; texts without secrets have an empty array; no rows give no rows. The
+    columns pass unchanged (one called `name` would be there twice: pass another name); repeated rows stay; texts without secrets have an empty array; no rows give no rows. The
     spans of one blob are kept in one row, as its text is.
     """
     ledger = ledger or fresh_path(docs.sparkSession, "ledger")
@@ -145,9 +150,9 @@ def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     blob = F.unhex(F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8"), 256))
     known = findings(docs, ledger, rules).select(F.col("blob").alias("_secret_blob"), F.col("spans").alias("_spans"))
     none = F.array().cast("array<struct<start:int,place:bigint,end:int,kind:string>>")
-    left = docs.withColumn("_blob_of_text", blob)
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), blob.alias("_blob_of_text"))
     return left.join(known, left["_blob_of_text"] == known["_secret_blob"], "left").select(
-        *[docs[c] for c in docs.columns], F.coalesce("_spans", none).alias("secret_spans")
+        *[F.col("_row")[c].alias(c) for c in docs.columns], F.coalesce("_spans", none).alias(name)
     )
 
 
