@@ -11,7 +11,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(docs):
+def brute(docs, percent=85):
     sets = []
     for _, text in docs:
         words = WORD.findall((text or "").translate(LOWER))
@@ -27,7 +27,7 @@ def brute(docs):
     for i in range(len(docs)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 parent[root(i)] = root(j)
     least = {}
     for k, (doc, _) in enumerate(docs):
