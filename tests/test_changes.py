@@ -101,6 +101,22 @@ def test_unique_accounts_one_after_another(spark, seed, window_rows):
     assert rows(got.select("seq", F.col("reject_reason").isNull())) == want
 
 
+def test_a_long_chain_of_requests(spark):
+    n, jobs = 3000, []
+    tracker = spark.sparkContext.statusTracker()
+    # Each shares its name with the one before and its mail with the one after: every second one is in.
+    requests = spark.range(n).select(
+        F.col("id").alias("seq"), F.concat(F.lit("u"), F.floor(F.col("id") / 2)).alias("username"),
+        F.concat(F.lit("e"), F.floor((F.col("id") + 1) / 2)).alias("email"))
+    accounts = spark.createDataFrame([("none", "none")], "username string, email string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = lookups.validate_unique(requests, accounts, ["username", "email"])
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert rows(got.where("reject_reason IS NULL"), "seq") == [(k,) for k in range(0, n, 2)]
+    assert jobs < 300
+
+
 def test_voucher_types_on_create_and_update(spark):
     table = spark.createDataFrame([(1, "num"), (2, "gift"), (3, None), (4, "")], "id bigint, type string")
     assert rows(lookups.accepted(lookups.validate_voucher(table)), "id") == [(1,)]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path, materialise
-from .ranking import largest_group, with_group
+from .ranking import WINDOW_ROWS, largest_group, with_group
 
 # The order states and the voucher types that are accepted.
 ORDER_STATUSES = ["Created", "Accepted", "Preparing", "Shipping", "Delivered", "Canceled"]
@@ -125,14 +125,36 @@ def validate_image(images: DataFrame) -> DataFrame:
     return _checked(images, F.coalesce(F.col("link"), F.lit("")) != "", F.lit("link is required"))
 
 
+def _root_and_parity(links: DataFrame, seq: str) -> DataFrame:
+    """`seq`, `root`, `odd`: where the chain of `links` (seq, before) ends and whether it is an odd number of steps long.
+
+    Pointer doubling: after k rounds every pointer spans 2^k links, so a chain of n requests takes log2(n) rounds.
+    """
+    state = materialise(links.select(seq, F.col("before").alias("root"), F.lit(True).alias("odd")), "chains")
+    while True:
+        ahead = state.select(F.col(seq).alias("_at"), F.col("root").alias("_next"), F.col("odd").alias("_odd"))
+        joined = state.join(ahead, state["root"] == ahead["_at"], "left")
+        longer = F.col("_at").isNotNull()
+        state = materialise(joined.select(
+            seq, F.when(longer, F.col("_next")).otherwise(F.col("root")).alias("root"),
+            F.when(longer, F.col("odd") != F.col("_odd")).otherwise(F.col("odd")).alias("odd"), longer.alias("_moved"),
+        ), "chains")
+        moved = not state.where("_moved").isEmpty()
+        state = state.drop("_moved")
+        if not moved:
+            return state
+
+
 def validate_unique(
     requests: DataFrame, accounts: DataFrame, fields: Sequence[str], seq: str = "seq", window_rows: int | None = None
 ) -> DataFrame:
     """Accept requests in `seq` order while every field is still free; a refused request claims nothing.
 
-    Each round settles all requests that come first in the groups of all their fields, and refuses those that share
-    a value with an accepted one. The earliest open request always settles, so the rounds end; there are as many as
-    the longest chain of requests that each hang on the one before. Null never clashes.
+    Each round settles, over all groups of equal values at once, requests that come first in the groups of all their fields
+    and refuses those that share a value with an accepted one. Then it follows chains: a request with one earlier open rival
+    in all its groups is accepted exactly if that rival is not, so along such links every second request is accepted.
+    Links are followed by pointer doubling, and whole chains and trees of them settle in one round, however long. The
+    earliest open request always settles, so the rounds end. Null never clashes.
     """
     spark = requests.sparkSession
     taken, clash = F.lit(False), requests.select(seq, *fields)
@@ -149,20 +171,57 @@ def validate_unique(
     schema, paths = state.schema, [fresh_path(spark, "unique")]
     state.where("state = 'out'").write.parquet(paths[0])
     state = state.where("state = 'open'")
-    sizes = {f: largest_group(state, [f]) for f in fields}
+    sizes = {f: largest_group(state, [f]) for f in fields}  # groups only get smaller
+    limit = WINDOW_ROWS if window_rows is None else window_rows
     while not state.isEmpty():
-        first, lost = F.lit(True), F.lit(False)
+        state = materialise(_with_rivals(state, fields, seq, {f for f in fields if sizes[f] <= limit}), "unique")
+        links = state.where("_rivals = 1").select(seq, F.col("_rival").alias("before"))
+        chains = _root_and_parity(links, seq).select(F.col(seq).alias("_of"), F.col("root").alias("_root"), "odd")
+        firsts = state.where("_rivals = 0").select(F.col(seq).alias("_first"))
+        # A root without rivals is in; the parity of the way there tells about the rest. Other roots wait.
+        known = chains.join(firsts, chains["_root"] == firsts["_first"], "left_semi")
+        placed = state.join(known, state[seq] == known["_of"], "left")
+        accepted = (F.col("_rivals") == 0) | F.coalesce(~F.col("odd"), F.lit(False))
+        refused = F.coalesce(F.col("odd"), F.lit(False))
+        state = materialise(
+            placed.select(seq, *fields, F.when(accepted, "in").when(refused, "out").otherwise("open").alias("state")), "unique")
+        lost = F.lit(False)
         for f in fields:
-            state = with_group(state, [f], {f"_first_{f}": F.min(seq)}, window_rows, sizes[f])
-            first = first & (F.col(f"_first_{f}") == F.col(seq))
-        state = state.withColumn("_in", first)
-        for f in reversed(fields):
-            state = with_group(state, [f], {f"_lost_{f}": F.bool_or("_in")}, window_rows, sizes[f])
+            state = with_group(state, [f], {f"_lost_{f}": F.bool_or(F.col("state") == "in")}, window_rows, sizes[f])
             lost = lost | F.col(f"_lost_{f}")
-        now = F.when(F.col("_in"), "in").when(lost, "out").otherwise("open")
+        now = F.when((F.col("state") == "open") & lost, "out").otherwise(F.col("state"))
         paths.append(fresh_path(spark, "unique"))
         state.select(seq, *fields, now.alias("state")).write.parquet(paths[-1])
         state = spark.read.schema(schema).parquet(paths[-1]).where("state = 'open'")
     refused = spark.read.schema(schema).parquet(*paths).where("state = 'out'").select(seq, F.lit(True).alias("_refused"))
     reason = F.lit(" or ".join(fields) + " already exists")
     return _checked(requests.join(refused, seq, "left"), F.col("_refused").isNull(), reason).drop("_refused")
+
+
+def _with_rivals(state: DataFrame, fields: Sequence[str], seq: str, windowed: set[str]) -> DataFrame:
+    """`state` with the number of earlier open requests that share a value (2 stands for more) and, where it is one, which.
+
+    A group's two earliest requests tell everything: the first has no rival in it, the second one, all others several.
+    Groups of the fields in `windowed` fit a window; those of others are aggregated and joined back.
+    """
+    for f in fields:
+        if f in windowed:
+            group = Window.partitionBy(f).orderBy(seq)
+            state = state.withColumns({
+                f"_a_{f}": F.first(seq).over(group), f"_b_{f}": F.nth_value(seq, 2).over(group),
+            })
+            continue
+        first = state.groupBy(f).agg(F.min(seq).alias("_a")).select(F.col(f).alias("_f"), "_a")
+        later = state.select(f, seq).join(first, F.col(f) == F.col("_f")).where(F.col(seq) > F.col("_a"))
+        second = later.groupBy("_f").agg(F.min(seq).alias("_b"))
+        both = first.join(second, "_f", "left").select("_f", F.col("_a").alias(f"_a_{f}"), F.col("_b").alias(f"_b_{f}"))
+        state = state.join(both, state[f] == both["_f"]).drop("_f")
+    none = F.array().cast(f"array<{dict(state.dtypes)[seq]}>")
+    rivals = F.array_distinct(F.concat(*[
+        F.when(F.col(seq) == F.col(f"_a_{f}"), none).when(F.col(seq) == F.col(f"_b_{f}"), F.array(f"_a_{f}"))
+        .otherwise(F.array(f"_a_{f}", f"_b_{f}"))
+        for f in fields
+    ]))
+    return state.withColumn("_all", rivals).select(
+        seq, *fields, F.least(F.size("_all"), F.lit(2)).alias("_rivals"),
+        F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).alias("_rival"))
