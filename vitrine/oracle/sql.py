@@ -18,7 +18,17 @@ USER = "id, name, user_name, phone, email, avatar, active"
 AS_OF = "TIMESTAMP '1998-01-01 00:00:00'"
 
 # Scans, sources, sinks
-oracle("table_scan", f"SELECT {PRODUCT} FROM product p")
+oracle("table_scan", f"""
+SELECT 'product' AS part, p.id, p.name, p.category_id::BIGINT AS category_id, p.description, p.active,
+  CAST(p.price AS DOUBLE) AS price, CAST(p.endprice AS DOUBLE) AS endprice, p.stock::BIGINT AS stock, p.related FROM product p
+UNION ALL BY NAME
+SELECT 'category' AS part, id::BIGINT AS id, name, priority::BIGINT AS priority, active, image FROM category
+UNION ALL BY NAME SELECT 'images' AS part, id, product_id, link, priority FROM images
+UNION ALL BY NAME SELECT 'rating' AS part, id, user_id, product_id, value::BIGINT AS value FROM rating
+UNION ALL BY NAME
+SELECT 'voucher' AS part, id, code, type, value::BIGINT AS value, min_value::BIGINT AS min_value, max_value::BIGINT AS max_value,
+  active, strftime(expire_date, '%Y-%m-%d %H:%M:%S') AS expire_date FROM voucher
+UNION ALL BY NAME SELECT 'users' AS part, {USER} FROM users""")
 oracle("users_public", f"SELECT {USER} FROM users")
 oracle("sink_rows", f"SELECT {USER} FROM users")
 oracle("items_decode", "SELECT order_id, pos, product_id, id, quantity, qty, selected_option, raw FROM line")
