@@ -90,3 +90,15 @@ def test_order_defaults(spark):
     assert rows(got, "id", "status", "active", "delivery_cost", "voucher_id")[0][:3] == (1, "Created", True)
     assert rows(got, "id", "status", "active", "voucher_id")[1] == (2, "Shipping", False, 8)
     assert got.where("created_at IS NULL").count() == 0
+
+
+def test_columns_as_they_are_stored(spark):
+    table = spark.createDataFrame(
+        [(1, [2, 2], (None, "L"), '{"kept": as it is'), (2, None, None, None), (3, [], (5, None), "")],
+        "id bigint, related array<bigint>, line struct<qty:bigint,option:string>, map string",
+    )
+    got = jsonio.encode_columns(table, ["related", "line", "map"])
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [
+        (1, "[2,2]", '{"qty":null,"option":"L"}', '{"kept": as it is'), (2, None, None, None),
+        (3, "[]", '{"qty":5,"option":null}', ""),
+    ]

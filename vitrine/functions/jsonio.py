@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +95,9 @@ def decode_related(products: DataFrame) -> DataFrame:
 def encode(value: Column) -> Column:
     """An object or array as JSON text with its null fields kept."""
     return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def encode_columns(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows as they are stored: objects and arrays of `names` as JSON text, text unchanged, null as null."""
+    kinds = dict(rows.dtypes)
+    return rows.withColumns({c: F.col(c) if kinds[c] == "string" else encode(F.col(c)) for c in names})

@@ -35,8 +35,15 @@ oracle("items_decode", "SELECT order_id, pos, product_id, id, quantity, qty, sel
 oracle("map_decode", "SELECT banner_id, elem_pos, kind, elem FROM element")
 oracle("related_decode", "SELECT product_id, pos, related_id FROM related")
 oracle("json_encode", """
-SELECT id, CAST(to_json({'id': id, 'user_id': user_id, 'status': status, 'active': active,
-  'voucher_code': voucher_code}) AS VARCHAR) AS body FROM shop_orders""")
+SELECT 'order' AS part, id, CAST(to_json({'id': id, 'user_id': user_id, 'status': status, 'active': active,
+  'voucher_code': voucher_code}) AS VARCHAR) AS body FROM shop_orders
+UNION ALL
+SELECT 'items', order_id, CAST(to_json(list({'product_id': product_id, 'quantity': quantity, 'selectedOption': selected_option}
+  ORDER BY pos)) AS VARCHAR) FROM line GROUP BY order_id
+UNION ALL
+SELECT 'related', id, CAST(to_json(CAST(CAST(related AS JSON) AS BIGINT[])) AS VARCHAR) FROM product
+UNION ALL
+SELECT 'map', id, map FROM banner""")
 
 # Filters and predicates
 oracle("lookup_by_key", f"SELECT {PRODUCT} FROM product p WHERE p.id IN (SELECT l_orderkey + 1 FROM lineitem)")

@@ -72,8 +72,8 @@ SCANNED = ("product", "category", "images", "rating", "voucher", "users")
 def table_scan(shop):
     """All rows of the six tables that are listed as a whole, told apart by `part`; passwords are not among the columns."""
     scans = [lookups.public_users(shop.view(name)).select(F.lit(name).alias("part"), "*") for name in SCANNED]
-    scans = [s.withColumns({c: F.col(c).cast("bigint") for c, kind in s.dtypes if kind in ("int", "smallint")}) for s in scans]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    wide = [s.withColumns({c: F.col(c).cast("bigint") for c, kind in s.dtypes if kind == "int"}) for s in scans]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), wide)
 
 
 @query
@@ -99,8 +99,20 @@ def related_decode(shop):
 
 @query
 def json_encode(shop):
-    head = F.struct("id", "user_id", "status", "active", "voucher_code")
-    return shop.shop_orders.select("id", jsonio.encode(head).alias("body"))
+    """The JSON columns as they are written: lines and header of an order, related ids of a product, a banner's map as text."""
+    header = F.struct("id", "user_id", "status", "active", "voucher_code")
+    head = shop.shop_orders.select(F.lit("order").alias("part"), "id", header.alias("body"))
+
+    def line(x: Column) -> Column:
+        return F.struct(x["product_id"], x["quantity"], x["selected_option"].alias("selectedOption"))
+
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "product_id", "quantity", "selected_option")))  # one document
+    decoded = jsonio.decode_items(shop.order_docs)
+    items = decoded.groupBy(F.col("order_id").alias("id")).agg(F.transform(ordered, line).alias("body"))
+    related = shop.product.select(F.lit("related").alias("part"), "id", F.from_json("related", "array<bigint>").alias("body"))
+    maps = shop.banner.select(F.lit("map").alias("part"), "id", F.col("map").alias("body"))
+    parts = [head, items.select(F.lit("items").alias("part"), "id", "body"), related, maps]
+    return reduce(DataFrame.unionByName, [jsonio.encode_columns(p, ["body"]) for p in parts])
 
 
 @query
