@@ -11,6 +11,7 @@ block has settled once more, by hash, across blocks.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -130,30 +131,48 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 _BLOCK_ROWS = "core long, h1 long, h2 long, lead int, windows int, at int, until int, lead_at int, w1 long, w2 long, n int"
 
 
+def _most_shared(parts: list[bytes]) -> list[int]:
+    """Length of the longest start that each part shares with another one."""
+    longest = [0] * len(parts)
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    for one, other in zip(order, order[1:]):
+        shared = len(commonprefix([parts[one], parts[other]]))
+        longest[one], longest[other] = max(longest[one], shared), max(longest[other], shared)
+    return longest
+
+
 def repeated_windows(block: list[tuple[int, int, bytes]], length: int, core: int) -> list[np.ndarray]:
-    """For segments (lead, windows, bytes) of one core: which of their windows another one, too, has."""
+    """For segments (lead, windows, bytes) of one core: which of their windows another one, too, has.
+
+    A repeated window lies within what its segment shares with some other one before the core and with some other one
+    after it. Segments are cut to that, or left out where it is shorter than a window; the suffix array of the rest
+    decides.
+    """
+    around = length - core
+    before = _most_shared([raw[:lead][::-1] for lead, _, raw in block])
+    after = _most_shared([raw[lead + core :] for lead, _, raw in block])
     symbols: list[int] = []
-    places = []
-    for number, (lead, _, raw) in enumerate(block):
-        places.append(len(symbols))
-        symbols += raw[:lead]
+    start_of: dict[int, tuple[int, int]] = {}
+    for number, ((lead, windows, raw), left, right) in enumerate(zip(block, before, after)):
+        if left + right < around:
+            continue
+        place = len(symbols) - (lead - left)
+        for k in range(lead - left, min(windows, lead - max(0, around - right) + 1)):
+            start_of[place + k] = (number, k)
+        symbols += raw[lead - left : lead]
         symbols.append(256)  # the core, which all share
-        symbols += raw[lead + core :]
+        symbols += raw[lead + core : lead + core + right]
         symbols.append(257 + number)
-    packed, width = np.array(symbols, dtype="<u2").tobytes(), 2 * (length - core + 1)
-    start_of = {}
-    for number, (place, (_, windows, _)) in enumerate(zip(places, block)):
-        for k in range(windows):
-            start_of[place + k] = (number, k)
+    packed, width = np.array(symbols, dtype="<u4").tobytes(), 4 * (around + 1)
     found = [np.zeros(windows, dtype=bool) for _, windows, _ in block]
-    before = None
-    for at in suffix_array(symbols):
+    last = None
+    for at in suffix_array(symbols) if start_of else ():
         if at not in start_of:
             continue
-        if before is not None and packed[2 * at : 2 * at + width] == packed[2 * before : 2 * before + width]:
-            for number, k in (start_of[at], start_of[before]):
+        if last is not None and packed[4 * at : 4 * at + width] == packed[4 * last : 4 * last + width]:
+            for number, k in (start_of[at], start_of[last]):
                 found[number][k] = True
-        before = at
+        last = at
     return found
 
 

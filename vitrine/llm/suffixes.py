@@ -30,6 +30,23 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     while current != -1:
         own = [at for at in members[current] if group[at] == current]
         members[current] = own
+        if len(own) == 1:  # points to one suffix at most, which then is alone in its new group
+            at = own[0]
+            before = at - 1
+            while before >= 0 and done[before]:
+                before = smaller[before]
+            smaller[at] = before
+            done[at] = 1
+            if before >= 0:
+                left = group[before]
+                group[before], members[fresh] = fresh, [before]
+                over = above[left]
+                above[left], below[fresh], above[fresh] = fresh, left, over
+                if over != -1:
+                    below[over] = fresh
+                fresh += 1
+            current = below[current]
+            continue
         pointed: dict[int, int] = {}
         for at in own:  # earlier members first: their pointers are known when later ones jump over them
             before = at - 1
@@ -60,7 +77,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     current = order[0] if order else -1
     while current != -1:
         start[current] = at
-        at += sum(1 for k in members[current] if group[k] == current)
+        at += len(members[current])
         current = above[current]
     out = [-1] * n
     placed = bytearray(n)
