@@ -32,6 +32,32 @@ def test_lines_against_sql(spark, tmp_path):
     assert any(r[7] for r in got) and quality.line_frequency(docs.where("false")).count() == 0
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    draw = ["Read MORE  1", "\tread more 2 ", "own", "", " ", "x y", "a\rb"]
+    rows = [(k, "\n".join([draw[k % 7], f"only in {'abc'[k % 3] * k}", draw[(k + 1) % 7], draw[k % 2], ""]), "ab"[k % 2]) for k in range(60)]
+    rows += [(None, "without id\nand more", "c")] * 3 + [(7, "one id\nand more", "d")] * 3 + [(8, None, "a"), (9, "", None), (2, rows[2][1], "a")]
+    rows += [(10 + k, "no host", None) for k in range(3)] + [(500, "\n".join(f"read more {k % 10}" for k in range(20_000)), "a")]
+
+    def words(line):
+        return re.findall("[^\x20\x09-\x0d]+", line)
+
+    def key(line):
+        return re.sub("[0-9]", "0", " ".join(words(line)).lower())
+
+    holders = {}
+    for number, (doc, text, host) in enumerate(rows):
+        for line in (text or "").split("\n"):
+            holders.setdefault((host, key(line)), set()).add(("row", number) if doc is None else doc)
+    want = []
+    for doc, text, host in rows:
+        left = [x for x in (text or "").split("\n") if not words(x) or len(holders[host, key(x)]) <= 2]
+        want.append((doc, "\n".join(left), len(words(text or "")) - len(words(" ".join(left)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 gone", "2 `all`")
+    got = quality.line_frequency(docs, line_documents=2).select("doc_id", "text", "n_removed").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {(500, "", 60_000), (None, "", 4), (9, "", 0), (7, "one id\nand more", 0)} <= set(want)
+
+
 def test_licenses_against_words(spark, tmp_path):
     texts = {k: t for k, t in enumerate(ODD)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "'x' words", "1 row")

@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame operations.
 
 Base rules look at one document. The method's rule looks across: lines are normalised and hashed, the documents that
-hold a line are counted within each host, lines in more documents than a limit are removed, and documents that lose most
-of their words are rejected.
+hold a line are counted within each host, lines in more documents than a limit are removed from the texts, and documents
+that lose most of their words are rejected.
 """
 
 from __future__ import annotations
@@ -23,23 +23,53 @@ def _words(text):
     return F.filter(F.split(text, _BLANKS), lambda x: x != "")
 
 
+def _text_id():
+    return F.unhex(F.md5(F.encode("text", "utf-8")))
+
+
+def _removed_lines(read: DataFrame, line_documents: int) -> DataFrame:
+    """Of texts with lines in more than `line_documents` documents of their host: `of_host`, `of_doc`, `of_text` and `gone`,
+    the places of those lines, from 0."""
+    def line(x):
+        return F.transform(F.array(x), lambda y: F.when(
+            y.rlike(_WORD), F.xxhash64(F.regexp_replace(F.lower(F.array_join(_words(y), " ")), "[0-9]", "0"))))[0]
+
+    hashed = materialise(read.select(
+        "host", "doc_id", _text_id().alias("text_id"), F.transform(F.split("text", "\n"), line).alias("lines")), "lines")
+    held = hashed.select("host", "doc_id", F.explode(F.array_distinct("lines")).alias("h")).where("h is not null")
+    documents = F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1))
+    frequent = materialise(
+        held.groupBy("host", "doc_id", "h").agg(F.count("*").alias("rows"))
+        .groupBy("host", "h").agg(documents.alias("documents")).where(F.col("documents") > line_documents)
+        .select(F.col("host").alias("at"), F.col("h").alias("often")), "frequent-lines")
+    lines = hashed.select("host", "doc_id", "text_id", F.posexplode("lines").alias("place", "h")).where("h is not null")
+    removed = lines.join(frequent, lines["host"].eqNullSafe(frequent["at"]) & (lines["h"] == frequent["often"]))
+    return removed.groupBy(
+        F.col("host").alias("of_host"), F.col("doc_id").alias("of_doc"), F.col("text_id").alias("of_text"),
+    ).agg(F.collect_set("place").alias("gone"))
+
+
 def line_frequency(
     docs: DataFrame, host: str = "source", line_documents: int = LINE_DOCUMENTS, lost_percent: int = LOST_PERCENT
 ) -> DataFrame:
     """One row per document: `doc_id`, `n_words`, `word_chars`, `n_symbols`, `n_dup_lines`, `n_repeat_words`,
-    `base_failed`, `n_removed` (words on removed lines) and `kept`.
+    `base_failed`, `n_removed` (words on removed lines), `kept` and `text`, what is left without the removed lines.
 
     A line is normalised to its words in lower case with digits as 0. Hosts may be null (one host). Rows with one
-    `doc_id` count as one document for a line and are each listed; rows without id count each. Null texts have no words
-    and fail; other columns are not read; no rows give no rows.
+    `doc_id` count as one document for a line and are each listed; rows without id count each. Null texts are empty, have
+    no words and fail; other columns are not read; no rows give no rows.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.col(host).cast("string").alias("host"), text.alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    split = read.withColumn("words", _words(F.col("text"))).withColumn(
-        "lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD)))
+    gone = _removed_lines(read, line_documents)
+    texts = read.withColumn("text_id", _text_id())
+    joined = texts.join(
+        gone, texts["host"].eqNullSafe(gone["of_host"]) & texts["doc_id"].eqNullSafe(gone["of_doc"])
+        & (texts["text_id"] == gone["of_text"]), "left").select("doc_id", "text", "gone")
+    split = joined.withColumn("words", _words(F.col("text"))).withColumn("all", F.split("text", "\n")).withColumn(
+        "lines", F.filter("all", lambda x: x.rlike(_WORD)))
     hashed = split.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
     windows = F.when(
         F.size("hashes") >= WINDOW,
@@ -57,33 +87,22 @@ def line_frequency(
         F.transform("at", lambda p, k: F.least(F.coalesce(F.get("at", k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW))),
         F.lit(0), lambda s, x: s + x)
 
-    def line(x):
-        return F.transform(F.array(_words(x)), lambda w: F.struct(
-            F.xxhash64(F.regexp_replace(F.lower(F.array_join(w, " ")), "[0-9]", "0")).alias("h"), F.size(w).alias("n")))[0]
-
-    base = materialise(found.select(
-        "row", "doc_id", "host", F.size("words").cast("long").alias("n_words"),
+    places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(places, lambda k: F.get("all", k)), "\n"))
+    counted = found.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"),
         F.char_length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.transform("lines", line).alias("lines"),
-    ), "quality")
-
-    lines = base.select("row", "doc_id", "host", F.explode("lines").alias("l")).select("row", "doc_id", "host", "l.h", "l.n")
-    own = F.when(F.col("doc_id").isNull(), F.col("row"))
-    frequent = (
-        lines.select("host", "h", "doc_id", own.alias("own")).distinct()
-        .groupBy("host", "h").count().where(F.col("count") > line_documents)
-        .select(F.col("host").alias("of"), F.col("h").alias("often"))
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "gone", left.alias("text"),
     )
-    removed = lines.join(frequent, lines["host"].eqNullSafe(frequent["of"]) & (lines["h"] == frequent["often"])).groupBy(
-        "row").agg(F.sum("n").cast("long").alias("n_removed"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    lost = F.coalesce("n_removed", F.lit(0).cast("long"))
-    return base.join(removed, "row", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        lost.alias("n_removed"), (~failed & (100 * lost <= lost_percent * F.col("n_words"))).alias("kept"),
+    lost = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_words") - F.size(_words(F.col("text"))))
+    judged = counted.withColumn("base_failed", failed).withColumn("n_removed", lost.cast("long"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed",
+        (~F.col("base_failed") & (100 * F.col("n_removed") <= lost_percent * F.col("n_words"))).alias("kept"), "text",
     )
 
 
