@@ -18,9 +18,13 @@ ORACLE_SQL = None  # tokens and kernels are beyond SQL; tests compare with a bru
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in a language that the model learned from labelled documents of this input; texts without letters are
+    """Documents in a language that the model learned from labelled documents of this input, with that language as `lang`,
+    by which the mixture goes; a label stays only where the model claims the text for no language. Texts without letters are
     in none. Where nothing is labelled nothing can be learned, and all documents with letters stay."""
-    return docs.where(language.in_known_language(language.fit(docs, gated=True), F.col("text")))
+    name = _unused(docs, "found_language")
+    found = docs.withColumn(name, language.known_language(language.fit(docs, gated=True), F.col("text")))
+    own = F.when(F.col(name) != "", F.col(name)).otherwise(F.col("lang"))
+    return found.where(F.col(name).isNotNull()).withColumn("lang", own).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -51,9 +55,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents as often as the mixture takes them, in the shuffled order of their shards. Documents are whole: the one at
-    its source's cut goes in if the mixture wants at least half of it."""
-    taken = mixing.mix(docs, by_text=True, carry=True).select("row", "size", F.explode("copies").alias("copy"))
+    """Documents as often as the mixture takes them, in the shuffled order of their shards. Each language of a source, as the
+    language stage found it, is taken at the source's rate. Documents are whole: the one at a language's cut in its source
+    goes in if the mixture wants at least half of it."""
+    taken = mixing.mix(docs, by_text=True, carry=True, strata="lang").select("row", "size", F.explode("copies").alias("copy"))
     whole = taken.where(2 * F.col("copy.words") >= F.col("size"))
     shuffled = whole.repartition("copy.shard", F.pmod("copy.key", F.lit(16))).sortWithinPartitions("copy.shard", "copy.key")
     return shuffled.select(*[F.col("row")[c].alias(c) for c in docs.columns])

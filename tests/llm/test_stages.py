@@ -4,6 +4,7 @@ import base64
 import itertools
 import random
 import string
+import zlib
 
 import corpus_pipeline
 
@@ -70,6 +71,24 @@ def test_language_stage_without_labels_and_with_a_rare_language(spark):
     assert corpus_pipeline.known_language(spark, few, SMALL).count() == 4
 
 
+def test_language_found_reaches_the_mixture(spark):
+    draw, spoken = random.Random(5), {"en": "the cat and dog sat on mat with old grey hat", "de": "der hund und die katze sitzen auf dem alten dach"}
+    rows, true = [], {}
+    for k in range(720):
+        true[k] = "de" if k % 8 == 3 else "en"
+        text = " ".join(draw.choice(spoken[true[k]].split()) for _ in range(20))
+        rows.append((k, text, [true[k], None, {"en": "de", "de": "en"}[true[k]]][2 if zlib.crc32(str(k).encode()) % 15 == 0 else int(k % 3 == 0)], "abcdef"[k // 120], len(text)))
+    docs = corpus_pipeline.known_language(spark, spark.createDataFrame(rows, DOCS), SMALL)
+    found = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert found == true
+    taken = [(r["source"], true[r["doc_id"]]) for r in corpus_pipeline.mixed(spark, docs, SMALL).collect()]
+    for source in "abcdef":
+        rate = sum(s == source for s, _ in taken) / 120
+        own = [k for k in true if rows[k][3] == source]
+        for la in ("de", "en"):
+            assert abs(taken.count((source, la)) - rate * sum(true[k] == la for k in own)) <= 1
+
+
 def test_one_document_of_each_group_whatever_the_ids(spark):
     def texts(name):  # four near copies of 100 words
         return [" ".join(f"{name}{'x' if j == k else 'w'}{j}" for j in range(100)) for k in range(4)]

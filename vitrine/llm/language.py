@@ -177,14 +177,17 @@ def predicted(model: Model, text: Column) -> Column:
     return predict(text.cast("string"))
 
 
-def in_known_language(model: Model, text: Column) -> Column:
-    """Whether a text is in a language that the (gated) model has learned; without languages any text with letters is."""
-    @pandas_udf("boolean")
+def known_language(model: Model, text: Column) -> Column:
+    """The learned language that a text is in, empty where the (gated) model claims the text for none of its languages, null
+    if it is in no learned language; without languages empty for any text with letters. Evaluated once a row."""
+    @pandas_udf("string")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         dense = np.unpackbits(model.landmarks, axis=1).astype(np.float32)
         known = np.unpackbits(model.gate.known, axis=1).astype(np.float32) if model.languages else None
+        names = np.array([*model.languages, ""], dtype=object)
         for texts in batches:
             kept = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+            found = np.full(len(kept), "", dtype=object)
             lettered = np.flatnonzero(kept) if model.languages else []
             for at in range(0, len(lettered), _BATCH):
                 own = lettered[at : at + _BATCH]
@@ -193,11 +196,14 @@ def in_known_language(model: Model, text: Column) -> Column:
                 for row, word_row, k in zip(rows, words, own):
                     presence(texts.iloc[k], row)
                     presence(words_only(texts.iloc[k]), word_row)
-                best = model.scores(rows.astype(np.float32), dense).argmax(axis=1)
+                values = model.scores(rows.astype(np.float32), dense)
+                best = values.argmax(axis=1)
                 kept[own] = model.gate.passed(words.astype(np.float32), known, best)
-            yield pd.Series(kept)
+                found[own] = names[np.where(values.max(axis=1) > 0, best, -1)]
+            found[~kept] = None
+            yield pd.Series(found)
 
-    return judge(text.cast("string"))
+    return judge.asNondeterministic()(text.cast("string"))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

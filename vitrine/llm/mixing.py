@@ -59,6 +59,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return weighed.select("source", "place", "size", target.alias("target"))
 
 
+def _strata(parts: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows of `sources` split by stratum: each takes the share of its source's target that it has of its size."""
+    whole = sources.select(
+        F.col("source").alias("name"), F.col("place").alias("whole"), F.col("size").alias("of"), F.col("target").alias("wanted"))
+    share = F.when(F.col("of") > 0, F.col("wanted") * F.col("size") / F.col("of")).otherwise(F.lit(0.0))
+    split = parts.join(whole, parts["source"].eqNullSafe(whole["name"])).select(
+        "source", "stratum", "whole", "size", share.alias("target"))
+    return positions(split, [F.col("whole").asc(), F.col("stratum").asc_nulls_last()], "place").drop("whole")
+
+
 def _cuts(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """`place`, `passes`, `cut` (a hash) and `rest` and `at_cut`: words wanted and present exactly at the cut."""
     passes = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")
@@ -134,6 +144,7 @@ def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
     block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7, by_text: bool = False, carry: bool = False,
+    strata: str | None = None,
 ) -> DataFrame:
     """One row per document: `doc_id`, `source`, `text`, `size`, `source_size`, `target`, `taken` and `copies`, an array
     of (pass, shard, key, words): where each copy goes, its place in the shard by `key`, and how many words it gives.
@@ -141,21 +152,33 @@ def mix(
     `size` counts words between ASCII blanks. Sources stand by code point, null last, and weigh `weights` in turn; they
     share `share` times all words, none more than `most` times its own. Copies of a document are whole, but for the
     documents at a source's cut. Rows with one `doc_id` share a place in the order, with `by_text` only if their texts are
-    equal, too; with `carry` a column `row` follows, a struct of all columns of `docs`; null texts have no words; repeated
-    rows each count; a source without words has target 0; no rows give no rows. Nothing is random: reruns agree.
+    equal, too; with `carry` a column `row` follows, a struct of all columns of `docs`; with `strata`, a column, each of its
+    values is taken at its source's rate, has a cut of its own, and `source_size` and `target` are its own; null texts have no
+    words; repeated rows each count; a source without words has target 0; no rows give no rows. Nothing is random: reruns agree.
     """
     named = ["doc_id", "text"] if by_text else ["doc_id"]
     order = F.shiftrightunsigned(F.xxhash64(*named, F.lit(seed)), 64 - _BITS)
     row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    stratum = [F.col(strata).cast("string").alias("stratum")] if strata else []
+    group = ["source", "stratum"] if strata else ["source"]
     counted = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *stratum,
         F.col("text").cast("string").alias("text"), *row,
     ).withColumn("words", n_words(F.col("text"))).withColumn("order", order)
-    base = materialise(counted.select("doc_id", "source", "words", "order"), "words")
+    base = materialise(counted.select("doc_id", *group, "words", "order"), "words")
     sources = materialise(
         targets(base.groupBy("source").agg(F.sum("words").alias("size")), weights, share, most), "targets")
-    names = sources.select(F.col("source").alias("name"), "place", F.col("size").alias("source_size"), "target")
-    rows = base.join(names, base["source"].eqNullSafe(names["name"])).select("place", "words", "order")
+    if strata:
+        sources = materialise(_strata(base.groupBy(*group).agg(F.sum("words").alias("size")), sources), "strata")
+    names = sources.select(
+        F.col("source").alias("name"), *[F.col("stratum").alias("part_of") for _ in stratum], "place",
+        F.col("size").alias("source_size"), "target")
+
+    def of_group(rows: DataFrame, named: DataFrame) -> Column:
+        same = rows["source"].eqNullSafe(named["name"])
+        return same & rows["stratum"].eqNullSafe(named["part_of"]) if strata else same
+
+    rows = base.join(names, of_group(base, names)).select("place", "words", "order")
     cuts = _cuts(rows, sources)
 
     # Blocks are cells of the hashed order; a source has a power of two of them.
@@ -186,7 +209,7 @@ def mix(
               F.floor(F.col("words") * F.col("rest") / F.col("at_cut")).cast("long"))
         .otherwise(F.lit(0).cast("long"))
     )
-    placed = counted.join(plans, counted["source"].eqNullSafe(plans["name"])).withColumn(
+    placed = counted.join(plans, of_group(counted, plans)).withColumn(
         "block", F.expr("shiftright(order, shift)")).withColumn("part", part)
     joined = placed.join(owners, ["place", "block"], "left")
     passes = F.filter(F.expr("sequence(0L, passes)"), lambda p: (p < F.col("passes")) | (F.col("part") > 0))
