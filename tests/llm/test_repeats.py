@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,3 +63,55 @@ def test_crowded_cores_and_odd_rows(spark, block, monkeypatch):
     want = brute(docs, 40)
     assert sorted(((*r[:4], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=str) == want
     assert repeats.remove_repeats(df.where("false")).count() == 0
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "_PIECE", 64)
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choice("abcdé ") for _ in range(n))
+    passage = text(150)
+    docs = [(k, text(draw.randrange(0, 200)) + passage[draw.randrange(0, 60) :] + text(draw.randrange(0, 200))) for k in range(20)]
+    docs += [(100, "a" * 400), (101, "ab" * 150), (102, docs[0][1]), (103, text(70) * 4), (104, text(103)), (105, None)]
+    got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=40, core=12).collect()
+    assert sorted(((*r[:4], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=str) == brute(docs, 40)
+
+
+def test_workers_memory_does_not_grow_with_the_text():
+    raw = np.random.default_rng(6).integers(97, 123, 9_000_000, dtype=np.uint8).tobytes()
+    batch = pa.RecordBatch.from_pydict({"text_id": [b"x"], "raw": [raw]})
+    tracemalloc.start()
+    try:
+        windows = sum(pa.compute.sum(x.column("windows")).as_py()
+                      for x in repeats._listed(iter([batch]), 400, 100, repeats._PIECE))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert windows == len(raw) - 399
+    assert peak < 150_000_000
+
+
+def test_slices_hold_few_bytes(monkeypatch):
+    monkeypatch.setattr(repeats, "_HELD", 10)
+    batch = pa.RecordBatch.from_pydict({"raw": [b"x" * n for n in (4, 6, 1, 50, 0, 0, 0, 0, 9)]})
+    assert [len(x) for x in repeats._slices(batch, 3)] == [2, 1, 1, 3, 2]
+    assert list(repeats._slices(batch.slice(0, 0), 3)) == []
+
+
+def test_ranges_of_a_text_in_little_memory():
+    n, one = 1_000_000, pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    at = np.arange(n) + 7
+    covered = pa.ListArray.from_arrays(
+        pa.array([0, None, n, n + 3], pa.int32()),
+        pa.StructArray.from_arrays([pa.array([*at, 0, 2, 9]), pa.array([*(at + 400), 5, 4, 10])], fields=list(one)))
+    raws = [b"y" * (n + 420), b"abc", b"0123456789ab"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3]), pa.array(raws), covered], names=["doc_id", "raw", "covered"])
+    tracemalloc.start()
+    try:
+        got = [r for x in repeats._removed(iter([batch])) for r in x.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r["n_removed"] for r in got] == [n + 399, 0, 6] and [r["n_spans"] for r in got] == [1, 0, 2]
+    assert got[2]["kept"] == b"5678ab" and got[2]["spans"] == [{"start": 0, "end": 5}, {"start": 9, "end": 10}]
+    assert peak < 60_000_000
