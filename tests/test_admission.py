@@ -1,13 +1,20 @@
 """Batch admission against a plain one-by-one replay of the orders."""
 
 import json
+import os
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions.jsonio import decode_items
+from vitrine.functions.jsonio import decode_items, decode_lines
 from vitrine.operators import admission
+from vitrine.plans.queries import QUERIES
+from vitrine.storage import materialise, shared_folder, shuffles_dropped
+
+from .conftest import SMALL, rows
 
 
 def product_of(item):
@@ -136,3 +143,79 @@ def test_hot_products_keep_the_plan_flat(spark):
     hot_exchanges, hot_scans, hot_settled = three_steps(1)
     assert hot_settled == settled
     assert hot_exchanges <= 2 * exchanges and hot_scans <= 2 * scans
+
+
+def shared_tables(spark):
+    return set(os.listdir(shared_folder(spark).removeprefix("file:")))
+
+
+@pytest.mark.parametrize("seed,limits", [(5, (None, None)), (8, (0, 2))])
+def test_amended_tables_leave_little_on_disk(spark, seed, limits):
+    stock, batch, old, served = case(seed)
+    products, head, _, _ = frames(spark, stock, batch, old)
+    docs = [spark.createDataFrame([(o, p, json.dumps(x)) for o, items in found for p, x in enumerate(items, 1)],
+                                  "order_id bigint, pos bigint, item_json string")
+            for found in ([(o, i) for o, _, i in batch], old.items())]
+    known = [o for o, _, _ in batch if o % 7]
+    orders = spark.createDataFrame([(o, "Created") for o in known], "id bigint, status string")
+    before, setting = shared_tables(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    switch = spark.conf.get(setting)
+    after = admission.amend_after(
+        head.withColumn("status", F.lit("Accepted")), *docs, products, orders, *limits, decode=decode_lines
+    )
+    # What the result reads is all that stays; the lines, claims and rounds on the way are gone.
+    assert sorted(name.split("-")[0] for name in shared_tables(spark) - before) == ["orders", "taken", "verdicts"]
+    assert spark.conf.get(setting) == switch
+
+    verdicts, left = replay_amend(served, old, stock)
+    won = {o for o in known if verdicts[o][0]}
+    assert {r.id: r.status for r in after.orders.collect()} == {o: "Accepted" if o in won else "Created" for o in known}
+    assert {r.id: r.stock for r in after.products.collect()} == left
+    assert {(r.order_id, r.reason, r.product_id, r.available) for r in after.refused.collect()} == {
+        (o, *v[1:]) for o, v in verdicts.items() if not v[0]
+    }
+    held = {o: items for o, items in old.items() if o not in won} | {o: i for o, _, i in batch if o in won}
+    assert rows(after.lines, "order_id", "pos", "product_id", "id", "qty", "quantity") == sorted(
+        ((o, p, *[x.get(c) for c in ("product_id", "id", "qty", "quantity")]) for o, items in held.items()
+         for p, x in enumerate(items, 1)),
+        key=lambda t: tuple((v is None, str(v) if v is None else v) for v in t),
+    )
+
+
+def test_amended_lines_are_dealt_once(spark):
+    df = QUERIES["order_amend_after"](spark, SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = [x for x in plan.split("\n") if "Exchange hashpartitioning(order_id" in x and "Reused" not in x]
+    # The lines of the orders, and the orders that changed.
+    assert len(lines) <= 2 and plan.count("FileScan parquet [l_orderkey") == 1
+
+
+def test_rounds_keep_every_claim_once(spark):
+    # Order r waits for order r - 1, which takes the rest of their common product or not, so this takes many rounds.
+    claims = [(r, p, 1, 1, 1) for r in range(12) for p in (r, r + 1)]
+    df = spark.createDataFrame(claims, "rank bigint, product_id bigint, take bigint, need bigint, base bigint")
+    before = shared_tables(spark)
+    settled = admission._settle(df, admission.Groups(2, 2, None, None))
+    assert {r.rank: r.accepted for r in settled.collect()} == {r: r % 2 == 0 for r in range(12)}
+    (root,) = shared_tables(spark) - before
+    written = spark.read.parquet(f"{shared_folder(spark)}/{root}")
+    assert written.select("round").distinct().count() > 3
+    assert rows(written, "rank", "product_id") == sorted((r, p) for r, p, *_ in claims)
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    def held():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    seen = set(re.findall(r"shuffle_\d+", held()))
+    with shuffles_dropped(spark):
+        assert materialise(df, "counted").count() == 7
+        assert admission.largest_group(df, ["k"]) == 1
+    for _ in range(50):  # executors are told, not waited for
+        left = set(re.findall(r"shuffle_\d+", held())) - seen
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left

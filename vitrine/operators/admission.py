@@ -8,19 +8,18 @@ rest wait for the next round. The earliest open order always settles, so the res
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, materialise
-from .orders import item_detail, last_quantities, normalise_items, normalise_orders
+from ..storage import fresh_path, materialise, remove, scratch, shuffles_dropped
+from .orders import item_detail, normalise_items, normalise_orders
 from .ranking import fresh_ids, largest_group, positions, sums_before, with_group
 
 
-STEPS_PER_TABLE = 3  # rounds between two written states
-
-
 class Groups(NamedTuple):
     """Largest number of lines of one product and of one order, and the limits that choose how to sum over them."""
 
@@ -76,57 +75,63 @@ def _step(state: DataFrame, groups: Groups) -> DataFrame:
 
 
 def _settle(claims: DataFrame, groups: Groups) -> DataFrame:
-    """rank, accepted for the orders of `claims` (rank, product_id, take, need, base).
+    """rank, accepted for the orders of `claims` (rank, product_id, take, need, base), a written table.
 
-    The rows of an order share one state, and settled rows leave the table, so later rounds get smaller.
+    The rows of an order share one state, and settled rows leave the table, so later rounds get smaller. Every round is
+    written, by state, and the rows that went on are taken from the round before: each row is there twice at most,
+    however many rounds there are, and the shuffles of a round are all that is needed besides.
     """
     spark = claims.sparkSession
     root = fresh_path(spark, "admission")
-    state = materialise(claims.select("rank", "product_id", "take", "need", "base", F.lit("open").alias("state")), "open")
+    state = claims.select("rank", "product_id", "take", "need", "base", F.lit("open").alias("state"))
     schema = state.schema
     paths: list[str] = []
     while not state.where("state = 'open'").isEmpty():
-        for _ in range(STEPS_PER_TABLE):
-            state = _step(state, groups)
         paths.append(f"{root}/round={len(paths)}")
-        state.write.parquet(paths[-1])
+        with shuffles_dropped(spark):
+            _step(state, groups).write.partitionBy("state").parquet(paths[-1])
+        for gone in [f"{path}/state={name}" for path in paths[-2:-1] for name in ("open", "in")]:
+            remove(spark, gone)
         state = spark.read.schema(schema).parquet(paths[-1]).where("state IN ('open', 'in')")
     if not paths:
         return claims.select("rank", F.lit(True).alias("accepted")).limit(0)
-    settled = spark.read.schema(schema).parquet(*paths).where("state <> 'open'")
+    settled = spark.read.schema(schema).parquet(root)
     return settled.select("rank", (F.col("state") != "out").alias("accepted")).distinct()
 
 
 def _admit(
-    orders: DataFrame, lines: DataFrame, steps: DataFrame, products: DataFrame, refused: DataFrame, groups: Groups
+    orders: DataFrame, lines: DataFrame, live: DataFrame, products: DataFrame, refused: DataFrame, groups: Groups
 ) -> Admission:
-    """`lines` have rank, pos, product_id, stock, ask (what the line tests), `steps` rank, product_id, take, need.
+    """`lines` have rank, pos, product_id, unknown, ask (what the line tests), earlier (asked before it by its order).
 
-    `refused` are ranks that are out whatever the stock.
+    `live`, a written table, has rank, product_id, take, need, asked of the other ranks than `refused`, which are out
+    whatever the stock. Every step that moves all lines is written on its own, so their shuffles never add up.
     """
-    live = materialise(steps.join(refused.select("rank"), "rank", "left_anti"), "asked")
     # A product whose stock covers all that is asked of it never turns anyone away.
     asked = live.groupBy("product_id").agg(F.sum("asked").alias("_asked"))
     tight = products.select(F.col("id").alias("product_id"), F.col("stock").cast("bigint").alias("base"))
     tight = materialise(tight.join(asked, "product_id").where("_asked > base").drop("_asked"), "tight")
-    settled = materialise(_settle(live.drop("asked").join(tight, "product_id"), groups), "settled")
-
-    losers = refused.select("rank").unionByName(settled.where("NOT accepted").select("rank"))
-    claims = live.join(settled.where("NOT accepted"), "rank", "left_anti").select("rank", "product_id", "take")
-
-    # The stock each refused order met, to name the first line that failed.
-    tests = lines.join(losers, "rank")
-    at = tests.where("stock IS NOT NULL").select("rank", "product_id").distinct().join(tight, "product_id")
-    both = at.select("rank", "product_id", "base", F.lit(0).cast("bigint").alias("take")).unionByName(
-        claims.join(tight, "product_id").select("rank", "product_id", "base", "take")
+    contended = materialise(live.drop("asked").join(tight, "product_id"), "contended")
+    settled = materialise(_settle(contended, groups), "settled")
+
+    lost = settled.where("NOT accepted").select("rank")
+    losers = refused.select("rank").unionByName(lost)
+    claims = live.join(lost, "rank", "left_anti").select("rank", "product_id", "take")
+
+    # The stock each refused order met, to name the first line that failed: one of a tight or unknown product.
+    tests = lines.join(losers, "rank").join(tight, "product_id", "left").where("unknown OR base IS NOT NULL")
+    tests = materialise(tests.select("rank", "pos", "product_id", "unknown", "ask", "earlier", "base"), "tests")
+    at = tests.where("NOT unknown").select("rank", "product_id", "base", F.lit(0).cast("bigint").alias("take")).distinct()
+    both = at.unionByName(
+        contended.join(lost, "rank", "left_anti").select("rank", "product_id", "base", "take")
     )
     met = _sums_by_product(both, {"spent": F.col("take")}, groups).select(
         "rank", "product_id", (F.col("base") - F.col("spent")).alias("available")
     )
     failing = tests.join(met, ["rank", "product_id"], "left").where(
-        F.col("stock").isNull() | (F.col("ask") > F.col("available"))
+        F.col("unknown") | (F.col("ask") > F.col("available"))
     )
-    reason = F.when(F.col("stock").isNull(), "unknown product").otherwise("stock").alias("reason")
+    reason = F.when(F.col("unknown"), "unknown product").otherwise("stock").alias("reason")
     left = (F.col("available") - F.col("earlier")).alias("available")
     first = failing.groupBy("rank").agg(
         F.min_by(F.struct(reason, "product_id", left), "pos").alias("_first")
@@ -166,8 +171,12 @@ def admit_orders(
     steps = known.where("stock IS NOT NULL").groupBy("rank", "product_id").agg(
         F.sum(qty).alias("take"), F.max(qty).alias("need"), F.sum(F.greatest(qty, F.lit(0))).alias("asked")
     )
-    tests = known.select("*", qty.alias("ask"), F.lit(0).cast("bigint").alias("earlier"))
-    return _admit(ranks, tests, steps, products, refused, _groups(known, window_rows, block))
+    live = materialise(steps.join(refused, "rank", "left_anti"), "asked")
+    tests = known.select(
+        "rank", "pos", "product_id", F.col("stock").isNull().alias("unknown"), qty.alias("ask"),
+        F.lit(0).cast("bigint").alias("earlier"),
+    )
+    return _admit(ranks, tests, live, products, refused, _groups(known, window_rows, block))
 
 
 def amend_orders(
@@ -181,25 +190,42 @@ def amend_orders(
     the new lines drop give nothing back.
     """
     ranks = order_ranks(amendments)
-    stock = products.select(F.col("id").alias("product_id"), F.col("stock").cast("bigint").alias("stock"))
-    old = last_quantities(old_lines).withColumnRenamed("qty", "_old")
-    asked = normalise_items(new_lines, amend=True).join(old, ["order_id", "product_id"], "left")
-    diff = F.col("qty") - F.coalesce("_old", F.lit(0))
-    known = asked.join(stock, "product_id").join(ranks, "order_id").select(
-        "rank", "pos", "product_id", "stock", diff.alias("diff")
+    # At most so many lines of one order, old and new; a bound is all that is needed.
+    by_order = largest_group(new_lines, ["order_id"]) + largest_group(old_lines, ["order_id"])
+    # Old and new lines are dealt by order alone, once: the joins and all sums of an order's lines of a product keep
+    # that. Lines of unknown or no products share none of these sums; the joins by product leave them out later, where
+    # leaving them out sooner would decode every line twice.
+    keys = ["order_id", "product_id"]
+    asked = reduce(DataFrame.unionByName, [
+        normalise_items(lines, amend=True).join(ranks, "order_id").select(
+            "rank", *keys, "pos", "qty", F.lit(is_old).alias("is_old")
+        )
+        for lines, is_old in ((new_lines, False), (old_lines, True))
+    ])
+    held = {"held": F.max_by("qty", F.when(F.col("is_old"), F.col("pos")))}
+    asked = with_group(asked, keys, held, window_rows, by_order).where("NOT is_old").select(
+        "rank", *keys, "pos", (F.col("qty") - F.coalesce("held", F.lit(0))).alias("diff")
     )
-    known = materialise(known, "lines")
-    groups = _groups(known, window_rows, block)
-    earlier = sums_before(
-        known, ["rank", "product_id"], "pos", {"earlier": F.col("diff")}, window_rows, block,
-        min(groups.by_product, groups.by_order),
+    asked = sums_before(asked, keys, "pos", {"earlier": F.col("diff")}, window_rows, block, by_order)
+    asked = asked.withColumn("ask", F.col("earlier") + F.col("diff"))
+    totals = {
+        "take": F.sum("diff"), "need": F.max("ask"), "asked": F.sum(F.greatest(F.col("diff"), F.lit(0))),
+        "last": F.max("pos"),
+    }
+    last = F.col("pos") == F.col("last")  # the line that stands for the order's claim on the product
+    asked = with_group(asked, keys, totals, window_rows, by_order).select(
+        "rank", "pos", "product_id", "earlier", "ask", *[F.when(last, F.col(c)).alias(c) for c in ("take", "need", "asked")]
     )
-    tests = materialise(earlier.withColumn("ask", F.col("earlier") + F.col("diff")), "tests")
-    steps = tests.groupBy("rank", "product_id").agg(
-        F.sum("diff").alias("take"), F.max("ask").alias("need"),
-        F.sum(F.greatest(F.col("diff"), F.lit(0))).alias("asked"),
+    asked = materialise(asked, "lines")
+    tests = asked.select("rank", "pos", "product_id", F.lit(False).alias("unknown"), "ask", "earlier")
+    live = asked.where("take IS NOT NULL").select("rank", "product_id", "take", "need", "asked")
+    groups = Groups(largest_group(asked, ["product_id"]), by_order, window_rows, block)
+    admission = _admit(ranks, tests, live, products, ranks.select("rank").limit(0), groups)
+    known = products.select(F.col("id").alias("product_id"))
+    return admission._replace(
+        products=admission.products.join(known, "product_id", "left_semi"),
+        claims=admission.claims.join(known, "product_id", "left_semi"),
     )
-    return _admit(ranks, tests, steps, products, ranks.select("rank").limit(0), groups)
 
 
 def stock_after(products: DataFrame, admission: Admission) -> DataFrame:
@@ -273,19 +299,34 @@ AMENDED = ["user_id", "status", "active", "delivery_cost", "voucher_id"]  # repl
 def amend_after(
     amendments: DataFrame, new_lines: DataFrame, old_lines: DataFrame, products: DataFrame, orders: DataFrame,
     window_rows: int | None = None, block: int | None = None,
+    decode: Callable[[DataFrame], DataFrame] = lambda lines: lines,
 ) -> After:
-    """The tables after `amendments`: accepted ones replace `AMENDED` and all lines of their order, if it is there."""
-    admission = amend_orders(amendments, new_lines, old_lines, products, window_rows, block)
-    admission = admission._replace(orders=materialise(admission.orders, "verdicts"))
-    won = admission.orders.where("accepted").select("order_id")
-    sent = amendments.withColumnRenamed("id", "order_id").join(won, "order_id").select(
-        F.col("order_id").alias("id"), F.struct(*[c for c in AMENDED if c in amendments.columns]).alias("_sent")
-    )
-    joined = orders.join(sent, "id", "left")
-    replaced = {
-        c: F.when(F.col("_sent").isNotNull(), F.col(f"_sent.{c}")).otherwise(F.col(c) if c in orders.columns else None)
-        for c in AMENDED if c in amendments.columns
-    }
-    changed = won.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    now = old_lines.join(changed, "order_id", "left_anti").unionByName(new_lines.join(changed, "order_id", "left_semi"))
-    return _after(joined.withColumns(replaced).drop("_sent"), now, products, admission)
+    """The tables after `amendments`: accepted ones replace `AMENDED` and all lines of their order, if it is there.
+
+    Lines as they are stored come with the function that decodes them: of the tables after it, only what stays is.
+    """
+    with scratch(orders.sparkSession):
+        admission = amend_orders(amendments, decode(new_lines), decode(old_lines), products, window_rows, block)
+        admission = admission._replace(
+            orders=materialise(admission.orders, "verdicts", lasting=True),
+            products=materialise(admission.products, "taken", lasting=True),
+        )
+        won = admission.orders.where("accepted").select("order_id")
+        sent = amendments.withColumnRenamed("id", "order_id").join(won, "order_id").select(
+            F.col("order_id").alias("id"), F.struct(*[c for c in AMENDED if c in amendments.columns]).alias("_sent")
+        )
+        replaced = {
+            c: F.when(F.col("_sent").isNotNull(), F.col(f"_sent.{c}")).otherwise(F.col(c) if c in orders.columns else None)
+            for c in AMENDED if c in amendments.columns
+        }
+        joined = orders.join(sent, "id", "left").withColumns(replaced)
+        # Written, so that only the lines are still shuffled when the result is read.
+        joined = materialise(
+            joined.withColumn("_changed", F.col("_sent").isNotNull()).drop("_sent"), "orders", lasting=True
+        )
+    changed = joined.where("_changed").select(F.col("id").alias("order_id"), "_changed").distinct()
+    # One join of old and new lines: a semi join of the new ones alone would filter them first, and tables that both
+    # come from would be shuffled twice.
+    either = old_lines.withColumn("_new", F.lit(False)).unionByName(new_lines.withColumn("_new", F.lit(True)))
+    now = either.join(changed, "order_id", "left").where(F.col("_new") == F.coalesce("_changed", F.lit(False)))
+    return _after(joined.drop("_changed"), decode(now.drop("_new", "_changed")), products, admission)

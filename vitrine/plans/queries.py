@@ -601,8 +601,10 @@ def order_place_after(shop):
 
 @query
 def order_amend_after(shop):
-    amended = jsonio.decode_lines(shop.amend_items.select("order_id", "pos", "item_json"))
-    return _tables_after(admission.amend_after(shop.order_request, amended, shop.lines, shop.product, shop.shop_orders))
+    amended, held = (shop.view(name).select("order_id", "pos", "item_json") for name in ("amend_items", "order_items"))
+    return _tables_after(admission.amend_after(
+        shop.order_request, amended, held, shop.product, shop.shop_orders, decode=jsonio.decode_lines
+    ))
 
 
 # Streams
